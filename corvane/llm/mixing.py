@@ -105,27 +105,30 @@ def repeated(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EP
 
     n_chars, where there is one, is that of the text in the row.
     """
-    sized = written(sizes(docs, seed), "mix-sizes")
-    keep = docs.columns
-    per = decisions(sized, weights, max_epochs)
-    per = per.select(*[F.col(c).alias("_" + c) for c in per.columns])
-    on = (F.coalesce(docs["source"], F.lit("")) == F.col("_src")) & (docs["source"].isNull() == F.col("_no_src"))
-    got = docs.withColumn("_h", seeded(seed)).join(per, on)
-    got = got.withColumn("_full", F.col("_whole") + F.when(F.col("_h") < F.col("_cut_h"), 1).otherwise(0))
+    per = decisions(written(sizes(docs, seed), "mix-sizes"), weights, max_epochs)
+    # a row travels whole in one column, so that none of its names meets one of these
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce("source", F.lit("")).alias("src"),
+        F.col("source").isNull().alias("no_src"),
+        seeded(seed).alias("h"),
+    )
+    got = rows.join(per, ["no_src", "src"])
+    got = got.withColumn("full", F.col("whole") + F.when(F.col("h") < F.col("cut_h"), 1).otherwise(0))
     # only rows at a cut count their words
-    size = F.regexp_count("text", F.lit(WORD)).cast("long")
-    some = F.when(F.col("_h") == F.col("_cut_h"), F.floor(size * F.col("_cut_words") / F.col("_cut_of"))).cast("long")
-    got = got.withColumn("_some", F.coalesce(some, F.lit(0)))
-    times = (F.col("_full") + F.when(F.col("_some") > 0, 1).otherwise(0)).cast("int")
-    copy = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))
-    got = got.withColumn("_copy", copy)
-    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_some"), F.lit(1)).cast("int")), "")
-    text = F.when(F.col("_copy") > F.col("_full"), head).otherwise(F.col("text"))
-    got = got.withColumn("text", text)
-    if "n_chars" in keep:
-        got = got.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return got.select(*keep)
+    size = F.regexp_count("row.text", F.lit(WORD)).cast("long")
+    some = F.when(F.col("h") == F.col("cut_h"), F.floor(size * F.col("cut_words") / F.col("cut_of"))).cast("long")
+    got = got.withColumn("some", F.coalesce(some, F.lit(0)))
+    times = (F.col("full") + F.when(F.col("some") > 0, 1).otherwise(0)).cast("int")
+    got = got.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
+    words = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("some"), F.lit(1)).cast("int")), "")
+    text = F.when(F.col("copy") > F.col("full"), head).otherwise(F.col("row.text"))
+    kinds = dict(docs.dtypes)
+    cols = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.length(text).cast(kinds["n_chars"])
+    return got.select(*[v.alias(c) for c, v in cols.items()])
 
 
 ORACLE = r"""

@@ -57,6 +57,8 @@ def frequencies(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
     if len(seen) > 1 << bits:
         raise ValueError("more symbols than 2 ** bits")
     out = np.zeros(len(counts), dtype=np.int64)
+    if not len(seen):
+        return out
     out[seen] = np.maximum(1, counts[seen].astype(np.int64) * (1 << bits) // max(total, 1))
     short = (1 << bits) - int(out.sum())
     if short >= 0:

@@ -257,12 +257,14 @@ def components(edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id. Rows without an id stay."""
     marked = written(near_duplicates(docs, radius=radius, crowd=crowd), "near-duplicates")
-    keep = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    some = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    keep = marked.where("doc_id = component_id").select("doc_id").distinct()
+    # a row travels whole in one column, so that none of its names meets one of these
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    some = rows.where("doc_id is not null").join(keep, "doc_id", "left_semi")
     again = marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not again.isEmpty():  # rows that share an id
         some = some.dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id is null"))
+    return some.unionByName(rows.where("doc_id is null")).select("row.*")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
