@@ -11,8 +11,9 @@ A source's words are then taken as whole repetitions of all its documents and
 a fractional one: documents in the order of a seeded hash, up to the words
 still wanted, the last document in part. The cut is found by sums over 4096
 hash ranges per source and a closer look at the one range that holds it, so no
-task ever sorts a source. What is decided per source is one short row, joined
-to the documents; Spark splits a hot source in that join.
+task ever sorts a source. What is decided per source is one short row, written
+and joined to the documents: broadcast if the table's size is under Spark's
+threshold for that, else by a join in which Spark splits a hot source.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source
 of its own and sorts last; rows that share an id share a hash, and if the cut
@@ -96,7 +97,8 @@ def taken() -> Column:
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of docs."""
     sized = written(sizes(docs, seed), "mix-sizes")
-    got = sized.join(decisions(sized, weights, max_epochs), ["no_src", "src"])
+    per = written(decisions(sized, weights, max_epochs), "mix-decisions")
+    got = sized.join(per, ["no_src", "src"])
     return got.select("doc_id", "size", "source_size", "target", taken().alias("taken"))
 
 
@@ -105,7 +107,7 @@ def repeated(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EP
 
     n_chars, where there is one, is that of the text in the row.
     """
-    per = decisions(written(sizes(docs, seed), "mix-sizes"), weights, max_epochs)
+    per = written(decisions(written(sizes(docs, seed), "mix-sizes"), weights, max_epochs), "mix-decisions")
     # a row travels whole in one column, so that none of its names meets one of these
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
