@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     sample = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
     sample = written(sample, "toxicity-sample")
     fits = remainder(F.col("doc_id")) == 4
-    grams = corpus_grams(rows)
+    grams = written(corpus_grams(rows), "toxicity-grams")  # several counts are made of it; the texts are read once
     per_gram = written(class_grams(sample.where(~fits)), "toxicity-class-grams")
     near = per_gram.where("tox > 0").select(F.substring("g", 2, ORDER - 1).alias("g4")).distinct()
     by_gram, by_context = ratios(per_gram, shared_model(grams).join(near, "g4", "left_semi"))
