@@ -1,11 +1,14 @@
-"""All queries of the library itself, by name."""
+"""All queries of the engine outside the training-data subpackage, and their SQL."""
 
 from __future__ import annotations
 
+from .plans import curation, evaluation, records, verification  # noqa: F401  (they register themselves)
+from .plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
