@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import match_tokens
+from .text import nli_tokens
 
 # Words that negate, opposite directions, unit spellings and unit dimensions.
 NEGATION = ["not", "no", "without", "lack", "lacks", "lacking", "fail", "fails", "failed", "absence", "absent", "cannot", "neither", "nor", "none", "unable", "un", "않", "없", "못"]
@@ -65,7 +65,7 @@ def set_cosine(premise: Column, hypothesis: Column) -> Column:
 
 def entailment(premise: Column, hypothesis: Column) -> Column:
     """set_cosine of the texts' tokens, less where their polarities conflict."""
-    p, h = match_tokens(premise), match_tokens(hypothesis)
+    p, h = nli_tokens(premise), nli_tokens(hypothesis)
     return set_cosine(p, h) * F.when(polarity_conflict(p, h), POLARITY_FACTOR).otherwise(1.0)
 
 

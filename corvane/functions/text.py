@@ -9,6 +9,7 @@ SPACES = r"[ \t\n\r\f\x0B]+"
 
 # Stop words, whose sets differ between token kinds, and number-bearing units.
 MATCH_STOP = ["the", "a", "an", "of", "to", "in", "and", "은", "는", "이", "가", "에", "의", "을", "를"]
+NLI_STOP = ["the", "a", "an", "of", "to", "in", "and", "is", "are", "be", "for", "with", "that", "this", "by", "on", "as", "at", "or", "from", "은", "는", "이", "가", "에", "의", "을", "를", "도", "으로"]
 CONTENT_STOP = ["그리", "그러", "때문", "경우", "대한", "통해", "위한", "이상", "이하", "결과", "확인", "사용", "진행", "다음", "the", "and", "for", "with", "was", "were", "this", "that", "from"]
 TOKEN = r"[A-Za-z가-힣0-9.]+"
 CONTENT = r"[가-힣]{2,}|[A-Za-z]{3,}"
@@ -65,10 +66,14 @@ def gate_sentences(text: Column) -> Column:
     return F.when(F.size(some) > 0, some).otherwise(F.array(text))
 
 
-def match_tokens(text: Column) -> Column:
+def match_tokens(text: Column, stop: list[str] = MATCH_STOP) -> Column:
     """The set of lower-case tokens of two characters or more, without stop words."""
     all_ = F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), F.lower)
-    return F.array_distinct(F.filter(all_, lambda t: (F.length(t) > 1) & ~t.isin(MATCH_STOP)))
+    return F.array_distinct(F.filter(all_, lambda t: (F.length(t) > 1) & ~t.isin(stop)))
+
+
+def nli_tokens(text: Column) -> Column:
+    return match_tokens(text, NLI_STOP)
 
 
 def content_words(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import curation as C
+from ..operators import judging as J
 from ..operators import relations as R
 from ..sources.tables import html_records, table
 from .registry import query
@@ -232,3 +233,16 @@ def shared_passage_components(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.md5(T.squeeze(F.coalesce("text", F.lit("")))).alias("h"))
     hub = d.groupBy("h").agg(F.min("doc_id").alias("b"))  # a star about the smallest id: no pairs within a group
     return R.components(d.join(hub, "h").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
+
+
+def _hits(marks, flag):
+    return " + ".join("(CASE WHEN regexp_matches(text, '" + flag + m.replace("'", "''") + "') THEN 1 ELSE 0 END)" for m in marks)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text, {_hits(J.NOTE_MARKS, "")} AS notes, {_hits(J.CITE_MARKS, "(?i)")} AS cites, string_split_regex(text, '\r\n|\n|\r') AS lines,
+  length(regexp_replace(text, '[^가-힣]', '', 'g')) AS h, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents)
+SELECT doc_id, CASE WHEN length(trim(text)) < 200 THEN 'low_value' WHEN notes >= 4 THEN 'labnote_like' WHEN cites >= 2 THEN 'cited'
+  WHEN len(list_filter(lines, lambda x: regexp_matches(x, '^\s*\S{{0,12}}\s*$'))) / len(lines) > 0.6 THEN 'tabular'
+  WHEN h / greatest(1, h + l) >= 0.4 THEN 'korean_prose' ELSE 'low_value' END AS bucket FROM t""")
+def use_triage(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", J.use_triage(F.col("text")).alias("bucket"))

@@ -7,12 +7,14 @@ from pyspark.sql.window import Window
 
 from ..functions import scores as S
 from ..functions import text as T
+from ..operators import judging as J
 from ..operators import relations as R
 from ..sources.tables import table
 from .registry import query
 
 TOKENS = r"""list_distinct(list_filter(list_transform(regexp_extract_all({}, '[A-Za-z가-힣0-9.]+'), lambda x: lower(x)),
   lambda x: length(x) > 1 AND x NOT IN ('the', 'a', 'an', 'of', 'to', 'in', 'and', '은', '는', '이', '가', '에', '의', '을', '를')))"""
+NLI_TOKENS = TOKENS.replace("'the', 'a', 'an', 'of', 'to', 'in', 'and', '은', '는', '이', '가', '에', '의', '을', '를'", ", ".join(f"'{w}'" for w in T.NLI_STOP))
 PAIRS = "(SELECT conv_id, turn, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"
 ASKED = "WHERE role = 'assistant' AND before = 'user'"
 
@@ -39,7 +41,7 @@ def _mates() -> str:
 NEG = "len(list_filter({}, lambda x: x IN (" + ", ".join(f"'{w}'" for w in S.NEGATION) + ") OR regexp_matches(x, '않|없|못'))) > 0"
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, {TOKENS.format("h")} AS h, {TOKENS.format("p")} AS p FROM {PAIRS} {ASKED}),
+@query(f"""WITH t AS (SELECT conv_id, turn, {NLI_TOKENS.format("h")} AS h, {NLI_TOKENS.format("p")} AS p FROM {PAIRS} {ASKED}),
 c AS (SELECT *, len(list_intersect(h, p)) AS common, len(list_intersect(list_filter(list_transform(h, lambda x: {_mates()}), lambda x: x IS NOT NULL), p)) > 0 OR ({NEG.format("h")}) <> ({NEG.format("p")}) AS conflict FROM t)
 SELECT conv_id, turn, round(CASE WHEN common = 0 THEN 0 ELSE common / sqrt(len(h) * len(p)) END * CASE WHEN conflict THEN 0.35 ELSE 1 END, 9)::DOUBLE AS score FROM c""")
 def answer_entailment(spark, sf):
@@ -95,3 +97,14 @@ def memory_recall(spark, sf):
     hits = sum((F.lower("text").contains(w).cast("bigint") for w in ("river", "light", "time")), F.lit(0).cast("bigint"))
     d = table(spark, sf, "documents").select("doc_id", hits.alias("hits")).where("hits > 0")
     return d.orderBy(F.desc("hits"), F.desc("doc_id")).limit(10)
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, p, unnest(string_split(regexp_replace(trim(h), '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1))) AS s,
+  generate_subscripts(string_split(regexp_replace(trim(h), '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1)), 1) AS k FROM {PAIRS} {ASKED}),
+x AS (SELECT conv_id, turn, k, {TOKENS.format("s")} AS a, {TOKENS.format("p")} AS b FROM t WHERE s <> '')
+SELECT conv_id, turn, (k - 1)::INT AS sentence, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END::DOUBLE, 9) AS best FROM x
+WHERE CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END < 0.2""")
+def unsupported_sentences(spark, sf):
+    parts = F.split(F.trim("h"), r"(?<=[.!?])[ \t\n\r\f\x0B]+")
+    got = J.unsupported(pairs(spark, sf), ["conv_id", "turn"], parts, F.array("p"), lambda w, s: T.overlap(s, w), 0.2)
+    return got.withColumn("best", F.round("best", 9))

@@ -159,3 +159,63 @@ def test_sources(spark, tmp_path):
     assert S_.inventory(spark, str(f)).first()["files"] == 1
     m = spark.createDataFrame([({"b": [1], "a": [0, 2]},)], "m map<string, array<int>>")
     assert m.select(S_.inverted_index_text(F.col("m")).alias("t")).first()["t"] == "a b a"
+
+
+def test_claims_and_evidence(spark):
+    from corvane.functions import claims as Q
+
+    for s, want in (("처리군의 수율이 대조군보다 유의하게 증가하였다", True), ("fix: increase the lower bound", False), ("보고서_결과 향상.pdf 확인됨 자료", False)):
+        assert value(spark, Q.is_claim(F.col("s")), s=s) is want, s
+    assert value(spark, Q.is_evidence(F.col("s")), s="반응 온도 37 ℃ 시료 농도 10 mM 조건")
+    assert not value(spark, Q.is_evidence(F.col("s")), s="온도 37 ℃ 하나")
+    assert value(spark, Q.exact_numbers(F.col("s")), s="60% 이하 및 25 ℃ 및 > 7 mM 제품 F-3340M-20") == ["25℃"]
+    assert value(spark, Q.supports(F.col("a"), F.col("b")), a="수율 82% 달성", b="수율 82% 기록") and not value(spark, Q.supports(F.col("a"), F.col("b")), a="수율 달성", b="온도 기록")
+    assert value(spark, Q.has_quantitative(F.col("s")), s="dose of 5 mg") and not value(spark, Q.has_quantitative(F.col("s")), s="in 2024")
+    w = value(spark, Q.windows(F.col("s"), 40), s="first sentence here\nsecond sentence here\nthird sentence here\nfourth one")
+    assert w == ["first sentence here second sentence here"[:40], "second sentence here third sentence here", "third sentence here fourth one"]
+
+
+def test_record_integrity(spark):
+    from corvane.functions import integrity as I
+
+    good = "과제명: 가\n연구자: 김민준\n점검자: 이서연\n실험일: 2024-03-01\n기록일: 2024-03-02\n4. 결과\n수율 82 % 온도 37 ℃\n5. 고찰\n수율은 82 %로 확인되었다. 차기에는 90 %를 검토할 예정이다.\n"
+    one = lambda f, s, **k: value(spark, f(F.col("s")), s=s)
+    assert [one(f, good) for f in (I.attributable, I.contemporaneous, I.complete, I.consistent)] == [1.0] * 4
+    assert one(I.attributable, good.replace("이서연", "(서명 없음)")) == pytest.approx(0.6)
+    assert one(I.contemporaneous, good.replace("03-02", "03-19")) == pytest.approx(0.5) and one(I.contemporaneous, good.replace("03-02", "02-02")) == 0.0
+    assert one(I.consistent, good.replace("수율은 82", "수율은 72")) == 0.0 and one(I.complete, good + "추후 기재") == 0.0
+    ori = lambda a, b: value(spark, I.original(F.col("a"), F.col("b")), a=a, b=b)
+    assert (ori(good.replace("37 ℃", "25 ℃"), good), ori(good, good), ori(good.replace("37 ℃", "25 ℃") + "정정 이력", good), ori(good, None)) == (0.0, 1.0, 1.0, 1.0)
+    assert value(spark, I.changed_numbers(F.col("a"), F.col("b")), a="at 25 ℃ and 5 mg", b="at 37 ℃") == 1.0
+    assert one(I.specimen_findings, "검체 채취") == ["id", "date"] and one(I.specimen_findings, "no such") == []
+    assert one(I.projects, "과제명: 가\n과제명: 나") == 2 and len(one(I.undocumented_deviations, "계획 변경 있음.\n이탈 사유 승인")) == 1
+    assert value(spark, I.alcoa(F.col("s"), F.lit(True), F.lit(True)), s="10 % 20 % 30 % TBD") == pytest.approx(0.375)
+
+
+def test_pseudonyms(spark):
+    from corvane.functions import privacy as P
+
+    s = "연구자: 김민준 010-1234-5678 a.b@c.kr 900101-1234567 연구자: 김민준"
+    a, b = (value(spark, P.deidentified(F.col("s"), salt), s=s) for salt in ("x", "y"))
+    assert a != b and not any(x in a for x in ("김민준", "010-1234", "a.b@c.kr", "900101"))
+    assert len(set(__import__("re").findall("연구자_[0-9A-F]{4}", a))) == 1
+    assert value(spark, P.residual(F.col("s")), s=a) == 0 and value(spark, P.deidentified(F.col("s"), "x"), s=None) is None
+
+
+def test_judges(spark):
+    from corvane.operators import judging as G
+
+    arr = lambda *x: F.array(*[F.lit(v) for v in x])
+    assert value(spark, G.consensus(arr(0.9, 0.9, 0.9), [0.5, 0.5, 0.5])) == "entail" and value(spark, G.consensus(arr(0.9, 0.1, 0.1), [0.5] * 3)) == "neutral"
+    assert value(spark, G.consensus(arr(0.9, 0.9, 0.1), [0.5] * 3)) is None
+    assert not value(spark, G.passed(F.array().cast("array<double>"))) and value(spark, G.passed(arr(0.6, 0.7)))
+    assert value(spark, G.line_consensus(F.array(arr(0.9, 0.9, 0.1, 0.9)), 4)) and not value(spark, G.line_consensus(F.array(arr(0.9, 0.1)), 2))
+
+
+def test_citations_against_a_registry(spark):
+    from corvane.operators import judging as G
+
+    reg = spark.createDataFrame([("10.1/A", "Deep learning for protein folding", 2021, 1), ("10.1/b", "Old title", 2000, 2), ("10.1/B", "Transfer of thermal energy in alloys", 2019, 3)], "doi string, title string, year int, position int")
+    cites = [(1, "10.1/a", "Deep Learning for Protein Folding", 2021), (2, "10.9/none", "Nothing like these words", 2020), (3, None, "Transfer of thermal energy in alloys", 2019), (4, None, None, None), (5, "10.1/a", "Deep learning for protein folding", 2011), (6, "10.1/b", None, None)]
+    got = {r["id"]: r["status"] for r in G.verify_citations(spark.createDataFrame(cites, "id int, doi string, title string, year int"), reg).collect()}
+    assert got == {1: "valid", 2: "hallucinated", 3: "valid", 4: "unverified", 5: "partially_valid", 6: "valid"}
