@@ -1,0 +1,75 @@
+"""Citations in a text, with their places, and how much of the text they cover."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Citation forms, and the widest gap between two parts of one citation.
+DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
+URL = r"https?://[^\s)]+"
+AUTHOR_YEAR = r"\b([A-Z][A-Za-z]+(?:\s+(?:et al\.?|&\s+[A-Z][A-Za-z]+)))[,]?\s*\(?(\d{4})\)?"
+QUOTED = r'"([^"]{20,300})"'
+TASK_ID = r"(?:과제\s*번호|과제고유번호|연구과제번호|사업번호|접수번호)\s*[:：]?\s*([A-Za-z0-9][A-Za-z0-9\-_.]{4,30})"
+SOURCE_BLOCK = r"[(（]\s*(?:출처|참고|자료|근거)\s*[:：]\s*([^)）]{4,200})[)）]"
+KR_AUTHOR_YEAR = r"([가-힣]{2,4}(?:\s*(?:외|등)))\s*[,]?\s*[(（]?((?:19|20)\d{2})[)）]?"
+YEAR = r"(?:19|20)\d{2}"
+GAP = 60
+
+SCHEMA = "array<struct<start:int,end:int,raw:string,doi:string,url:string,title:string,author:string,year:int>>"
+_FIELDS = ("doi", "url", "title", "author", "year")
+
+
+def find(text: str, merge: bool = True) -> list[dict]:
+    """Citations in order; neighbours within GAP characters are one, of whose fields the first known count."""
+    parts: list[dict] = []
+
+    def put(a: int, b: int, **fields) -> None:
+        parts.append({"start": a, "end": b} | {k: fields.get(k) for k in _FIELDS})
+
+    for m in re.finditer(SOURCE_BLOCK, text):
+        task, year = re.search(TASK_ID, m[1]), re.search(YEAR, m[1])
+        put(*m.span(), author=m[1].split(",")[0].strip(), year=int(year[0]) if year else None, doi=task[1] if task else None)
+    for m in re.finditer(DOI, text):
+        put(m.start(), m.start() + len(m[0].rstrip(".,;)")), doi=m[0].rstrip(".,;)"))
+    for m in re.finditer(URL, text):
+        if not re.search(DOI, m[0]):
+            put(*m.span(), url=m[0])
+    for pattern in (AUTHOR_YEAR, KR_AUTHOR_YEAR):
+        for m in re.finditer(pattern, text):
+            put(*m.span(), author=m[1], year=int(m[2]))
+    for m in re.finditer(QUOTED, text):
+        put(*m.span(), title=m[1])
+    taken = [(p["start"], p["end"]) for p in parts]
+    for m in re.finditer(TASK_ID, text):
+        if not any(a <= m.start() < b for a, b in taken):
+            put(*m.span(), doi=m[1])
+    out: list[dict] = []
+    for p in sorted(parts, key=lambda p: (p["start"], p["end"])):
+        if merge and out and p["start"] - out[-1]["end"] <= GAP:
+            last = out[-1]
+            last["end"] = max(last["end"], p["end"])
+            for k in _FIELDS:
+                last[k] = p[k] if last[k] is None else last[k]
+        else:
+            out.append(p)
+    return [p | {"raw": text[p["start"] : p["end"]]} for p in out]
+
+
+def citations(text: Column, merge: bool = True) -> Column:
+    """Array of citations; a null text has none."""
+
+    @F.pandas_udf(SCHEMA)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: find(t or "", merge))
+
+    return run(F.coalesce(text, F.lit("")))
+
+
+def covered(cited: Column) -> Column:
+    """Share of sentences up to the last cited one: a citation covers its sentence and those before it. cited: booleans in order."""
+    last = F.array_max(F.transform(cited, lambda c, k: F.when(c, k + 1).otherwise(0)))
+    return F.when(F.size(cited) > 0, last / F.size(cited)).otherwise(0.0)

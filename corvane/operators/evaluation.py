@@ -172,3 +172,43 @@ def idf(rows: DataFrame, tokens: Column) -> DataFrame:
     n = rows.agg(F.count("*").alias("n"))
     df = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(n)).select("token", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n: one row
+
+
+def cluster_bootstrap(rows: DataFrame, cluster: str, difference: str, replicates: int = 2000, seed: str = "b") -> DataFrame:
+    """mean, low, high: 95 % interval of a mean difference when clusters are drawn again, by seeded Poisson weights.
+
+    Clusters are summed first; each replicate's weight of a cluster comes from a
+    hash, so that reruns agree and no task needs another's draws.
+    """
+    per = rows.groupBy(cluster).agg(F.sum(difference).alias("s"), F.count("*").alias("n"))
+    each = per.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("r").cast("string"), F.lit(":"), F.col(cluster).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    weight, total, term = F.lit(0), 0.0, 2.718281828459045**-1
+    for k in range(12):  # Poisson(1) by its distribution function
+        total += term
+        term /= k + 1
+        weight = weight + F.when(h > total, 1).otherwise(0)
+    reps = each.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    t = reps.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return per.agg((F.sum("s") / F.sum("n")).alias("mean")).join(F.broadcast(t))  # one row each
+
+
+def grid_search(rows: DataFrame, encoder: str, llm: str, label: str, lows: list[float], highs: list[float], theta: float = 0.5, least_pass: float = 0.9) -> DataFrame:
+    """lo, hi, f1, calls, pass_rate of the cascade with the best (f1, fewest calls) among those that pass enough true rows.
+
+    Positive rows (label 0: unsupported) are flagged below theta. The grid is a short list.
+    """
+    grid = [(lo, hi) for lo in lows for hi in highs if lo < hi]
+    g = F.explode(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in grid]))
+    r = rows.select(encoder, llm, label, g.alias("g")).select("*", "g.lo", "g.hi")
+    asked = (F.col(encoder) >= F.col("lo")) & (F.col(encoder) < F.col("hi"))
+    flagged = F.when(asked, F.col(llm)).otherwise(F.col(encoder)) < theta
+    wrong = F.col(label) == 0
+    t = r.groupBy("lo", "hi").agg(
+        F.count_if(flagged & wrong).alias("tp"), F.count_if(flagged & ~wrong).alias("fp"), F.count_if(~flagged & wrong).alias("fn"),
+        F.count_if(~flagged & ~wrong).alias("tn"), F.count_if(asked).alias("calls"),
+    )
+    t = t.select(
+        "lo", "hi", "calls", _safe(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), _safe(F.col("tn"), F.col("tn") + F.col("fp")).alias("pass_rate")
+    )
+    return t.where(F.col("pass_rate") >= least_pass).orderBy(F.desc("f1"), "calls", "lo", "hi").limit(1)

@@ -219,3 +219,35 @@ def test_citations_against_a_registry(spark):
     cites = [(1, "10.1/a", "Deep Learning for Protein Folding", 2021), (2, "10.9/none", "Nothing like these words", 2020), (3, None, "Transfer of thermal energy in alloys", 2019), (4, None, None, None), (5, "10.1/a", "Deep learning for protein folding", 2011), (6, "10.1/b", None, None)]
     got = {r["id"]: r["status"] for r in G.verify_citations(spark.createDataFrame(cites, "id int, doi string, title string, year int"), reg).collect()}
     assert got == {1: "valid", 2: "hallucinated", 3: "valid", 4: "unverified", 5: "partially_valid", 6: "valid"}
+
+
+def test_citations_in_texts(spark):
+    from corvane.functions import citations as Q
+
+    c = lambda s, merge=True: value(spark, Q.citations(F.col("s"), merge), s=s)
+    s = "Claim here. (Alam et al. (2024); DOI: 10.1101/2024.01.02)"
+    assert len(c(s)) == 1 and c(s)[0]["year"] == 2024 and c(s)[0]["doi"] == "10.1101/2024.01.02" and len(c(s, False)) == 2
+    assert c("김철수 외 (2023)에 따르면 증가")[0]["year"] == 2023
+    k = c("본문 (출처: 서울대학교병원, 2020, 과제번호 NCT04490642)")[0]
+    assert (k["author"], k["year"], k["doi"]) == ("서울대학교병원", 2020, "NCT04490642")
+    assert c("no source at all") == [] and c(None) == []
+    b = lambda *x: F.array(*[F.lit(v) for v in x])
+    assert value(spark, Q.covered(b(False, True, False, False))) == 0.5 and value(spark, Q.covered(b(False))) == 0.0
+
+
+def test_note_fields_and_sections(spark):
+    from corvane.functions import notes as N
+
+    s = "과제번호: A-1\n과제명: 합성\n연구자: 김민준\n1. 실험 목적\n수율 확인\n2. 재료 및 방법\n가열\n4. 실험 결과\n82 %\n5. 고찰\n좋다\n"
+    m, p = value(spark, N.meta(F.col("s")), s=s), value(spark, N.sections(F.col("s")), s=s)
+    assert (m["project_no"], m["researcher"]) == ("A-1", "김민준") and set(p) == {"purpose", "methods", "results", "discussion"}
+    assert p["discussion"] == "좋다" and p["purpose"].startswith("수율 확인")
+
+
+def test_bootstrap_and_grid(spark):
+    rows = spark.createDataFrame([(k // 4, 1.0 if k % 10 < 3 else 0.0) for k in range(400)], "c int, d double")
+    t = E.cluster_bootstrap(rows, "c", "d", 200).first()
+    assert t["mean"] == pytest.approx(0.3) and 0.2 < t["low"] < 0.3 < t["high"] < 0.4
+    g = spark.createDataFrame([(0.9, 0.9, 1), (0.6, 0.1, 0), (0.4, 0.9, 1), (0.1, 0.0, 0)], "e double, l double, y int")
+    best = E.grid_search(g, "e", "l", "y", [0.0, 0.2, 0.45], [0.5, 0.8]).first()
+    assert (best["lo"], best["hi"], best["f1"], best["calls"]) == (0.2, 0.8, 1.0, 2)
