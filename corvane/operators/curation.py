@@ -12,14 +12,17 @@ from ..functions.text import letter_ratio, squeeze
 SUBJECT = (
     r"환자|피험자|대상자|참여자|수진자|내담자|아동|영아|유아|소아|신생아|남아|여아|아이(?:가|는|의|에게|들)|"
     r"\d{1,2}\s*세(?![대기트])\s*(?:남|여|아동|환자)?|\d{1,2}\s*개월\s*(?:된|아|영아)|"
-    r"(?:남|여)성\s*\d{1,2}\s*세|patient|subject\s*\d|participant|child(?:ren)?\b"
+    r"(?:남|여)성\s*\d{1,2}\s*세"
 )
+SUBJECT_LATIN = r"patient|subject\s*\d|participant|child(?:ren)?\b"
 HEALTH = (
     r"진단|병력|증상|질환|질병|투약|투여|처방|복용|수술|입원|외래|재활|치료|청력|난청|언어\s*발달|발달\s*(?:평가|지연|검사)|인지\s*(?:검사|기능)|"
     r"검체|조직\s*검사|병리|통증|요통|부상|종양|암\s*(?:진단|환자|조직|병기|재발)|(?:폐|위|간|유방|대장|갑상선|췌장|전립선|자궁경부)암|"
-    r"혈압|혈당|체중\s*감소|BMI|diagnos|symptom|medical history|treatment"
+    r"혈압|혈당|체중\s*감소"
 )
-ADVERSE = r"부작용|이상\s*반응|이상\s*사례|중대한\s*이상|adverse\s+event|side\s+effect|\bSAE\b"
+HEALTH_LATIN = r"BMI|diagnos|symptom|medical history|treatment"
+ADVERSE = r"부작용|이상\s*반응|이상\s*사례|중대한\s*이상"
+ADVERSE_LATIN = r"adverse\s+event|side\s+effect|\bSAE\b"
 DISEASE = (
     r"당뇨|고혈압|고지혈증|천식|우울증|공황\s*장애|불안\s*장애|조현병|치매|뇌졸중|심근경색|협심증|"
     r"간염|결핵|아토피|ADHD|자폐|파킨슨|알츠하이머|관절염|디스크"
@@ -40,16 +43,20 @@ BOUNDED = {
 MIN_CHARS, MIN_LETTERS = 200, 0.30
 
 
-def has(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
+def has(text: Column, hangul: str, latin: str | None = None) -> Column:
+    """Whether either pattern occurs; each alternative of the first holds a Hangul letter, so other texts are not searched for it."""
+    found = text.rlike("[가-힣]") & text.rlike("(?i)" + hangul)
+    if latin:
+        found = text.rlike("(?i)" + latin) | found
+    return F.coalesce(found, F.lit(False))
 
 
 def sensitive_signals(text: Column) -> Column:
     """adverse; subject_health where both marks stand; otherwise clinical, unless about other subjects."""
-    both = has(text, HEALTH) & has(text, SUBJECT)
-    clinical = has(text, CLINICAL) & ~has(text, NONHUMAN)
+    both = has(text, HEALTH, HEALTH_LATIN) & has(text, SUBJECT, SUBJECT_LATIN)
+    clinical = has(text, CLINICAL) & ~text.rlike("(?i)" + NONHUMAN)
     return F.array_compact(
-        F.array(F.when(has(text, ADVERSE), F.lit("adverse")), F.when(both, "subject_health").when(clinical, "clinical"))
+        F.array(F.when(has(text, ADVERSE, ADVERSE_LATIN), F.lit("adverse")), F.when(both, "subject_health").when(clinical, "clinical"))
     )
 
 

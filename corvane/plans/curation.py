@@ -25,9 +25,9 @@ def _re2(pattern: str) -> str:
 GATE = f"""
 WITH n AS (
   SELECT doc_id, source, lang, {SQ} AS t,
-         CASE WHEN regexp_matches(text, '(?i){_re2(C.ADVERSE)}')
-                OR (regexp_matches(text, '(?i){_re2(C.HEALTH)}') AND regexp_matches(text, '(?i){_re2(C.SUBJECT)}'))
-                OR (NOT (regexp_matches(text, '(?i){_re2(C.HEALTH)}') AND regexp_matches(text, '(?i){_re2(C.SUBJECT)}'))
+         CASE WHEN regexp_matches(text, '(?i){_re2(C.ADVERSE + "|" + C.ADVERSE_LATIN)}')
+                OR (regexp_matches(text, '(?i){_re2(C.HEALTH + "|" + C.HEALTH_LATIN)}') AND regexp_matches(text, '(?i){_re2(C.SUBJECT + "|" + C.SUBJECT_LATIN)}'))
+                OR (NOT (regexp_matches(text, '(?i){_re2(C.HEALTH + "|" + C.HEALTH_LATIN)}') AND regexp_matches(text, '(?i){_re2(C.SUBJECT + "|" + C.SUBJECT_LATIN)}'))
                     AND regexp_matches(text, '(?i){_re2(C.CLINICAL)}') AND NOT regexp_matches(text, '(?i){_re2(C.NONHUMAN)}'))
               THEN 'sensitive' END AS s
   FROM documents),
