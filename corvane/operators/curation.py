@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +26,12 @@ HEALTH = (
 HEALTH_LATIN = r"BMI|diagnos|symptom|medical history|treatment"
 ADVERSE = r"부작용|이상\s*반응|이상\s*사례|중대한\s*이상"
 ADVERSE_LATIN = r"adverse\s+event|side\s+effect|\bSAE\b"
+#: For each Latin pattern, plain strings of which a match holds one.
+STEMS = {
+    SUBJECT_LATIN: ("patient", "subject", "participant", "child"),
+    HEALTH_LATIN: ("bmi", "diagnos", "symptom", "medical history", "treatment"),
+    ADVERSE_LATIN: ("adverse", "side", "sae"),
+}
 DISEASE = (
     r"당뇨|고혈압|고지혈증|천식|우울증|공황\s*장애|불안\s*장애|조현병|치매|뇌졸중|심근경색|협심증|"
     r"간염|결핵|아토피|ADHD|자폐|파킨슨|알츠하이머|관절염|디스크"
@@ -47,7 +56,9 @@ def has(text: Column, hangul: str, latin: str | None = None) -> Column:
     """Whether either pattern occurs; each alternative of the first holds a Hangul letter, so other texts are not searched for it."""
     found = text.rlike("[가-힣]") & text.rlike("(?i)" + hangul)
     if latin:
-        found = text.rlike("(?i)" + latin) | found
+        low = F.lower(text)
+        stem = reduce(or_, [low.contains(x) for x in STEMS[latin]])  # a plain search is much cheaper than the pattern
+        found = (stem & text.rlike("(?i)" + latin)) | found
     return F.coalesce(found, F.lit(False))
 
 
