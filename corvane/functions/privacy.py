@@ -21,6 +21,8 @@ RULES = [
     (r"(?<=성명[:： ])\s*([가-힣]{2,4})", "성명"),
 ]
 PASSES = 5
+#: Characters on either side of a match that its shape takes in.
+CONTEXT = 14
 
 
 def pseudonym(value: str, prefix: str, salt: str) -> str:
@@ -59,6 +61,34 @@ def residual(text: Column) -> Column:
     return sum((F.regexp_count(text, F.lit(f"(?>{p})(?!_[0-9A-F]{{4}})")) for p, _ in RULES), F.lit(0))
 
 
+def _mask(text: str) -> str:
+    for pattern, c in (("[A-Za-z]", "A"), (r"\d", "D"), ("[가-힣]", "K")):  # letters first, as the marks are letters
+        text = re.sub(pattern, c, text)
+    return text
+
+
+def _shapes(text: str, context: int) -> list[dict]:
+    out = []
+    for pattern, prefix in RULES:
+        for m in re.finditer(pattern, text):
+            if not re.match(r"_[0-9A-F]{4}\b", text[m.end() : m.end() + 8]):
+                out.append({"rule": prefix, "mask": _mask(text[max(0, m.start() - context) : m.end() + context])})
+    return out
+
+
+def residual_shapes(text: Column, context: int = CONTEXT) -> Column:
+    """Rule and masked surroundings of each match of the rules that is left anywhere in a text; a null text has none.
+
+    Spark SQL does not tell where the matches after the first stand, so this runs in Arrow batches; only masks leave it.
+    """
+
+    @F.pandas_udf("array<struct<rule:string,mask:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: _shapes(t, context))
+
+    return run(F.coalesce(text, F.lit("")))
+
+
 def rrn_valid(digits: Column) -> Column:
     """Weighted check digit of a 13-digit number, and a plausible month and day."""
     weights = [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]

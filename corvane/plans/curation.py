@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import privacy as P
 from ..functions import text as T
 from ..operators import curation as C
 from ..operators import judging as J
@@ -219,6 +222,24 @@ def shape_masks(spark, sf):
     return table(spark, sf, "documents").groupBy(m.alias("mask")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mask").limit(20)
 
 
+def _shapes_of(pattern: str, rule: str) -> str:
+    """SQL: rule, mask of each match. Matches go between two private characters; a look-behind, which DuckDB lacks, is what stands before the first."""
+    label, body = re.match(r"(?:\(\?<([=!].*?\]?)\))?(.*)", pattern).groups()
+    before = {"!": f"^|[^{(label or '')[2:]}", "=": (label or "")[1:]}[label[0]] if label else ""
+    a, b = "chr(57344)", "chr(57345)"
+    return f"""SELECT '{rule}' AS rule, regexp_replace(regexp_replace(regexp_replace(right(l, {P.CONTEXT}) || m || left(r, {P.CONTEXT}), '[A-Za-z]', 'A', 'g'), '[0-9]', 'D', 'g'), '[가-힣]', 'K', 'g') AS mask
+  FROM (SELECT replace(array_to_string(p[:i], ''), {b}, '') AS l, split_part(p[i + 1], {b}, 1) AS m,
+      substr(replace(array_to_string(p[i + 1:], ''), {b}, ''), length(split_part(p[i + 1], {b}, 1)) + 1) AS r
+    FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(regexp_replace(text, '({before})({body})', '\\1' || {a} || '\\2' || {b}, 'g'), {a}) AS p FROM documents)))
+  WHERE NOT regexp_matches(left(r, 8), '^_[0-9A-F]{{4}}\\b')"""
+
+
+@query(f"SELECT rule, mask, count(*)::BIGINT AS n FROM ({' UNION ALL '.join(_shapes_of(p, rule) for p, rule in P.RULES)}) GROUP BY ALL ORDER BY n DESC, rule, mask LIMIT 20")
+def residual_shapes(spark, sf):
+    m = table(spark, sf, "documents").select(F.inline(P.residual_shapes(F.col("text"))))
+    return m.groupBy("rule", "mask").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule", "mask").limit(20)
+
+
 @query(r"""WITH w AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[가-힣]{2,}|[A-Za-z]{3,}'), lambda x: lower(x)),
   lambda x: x NOT IN ('the', 'and', 'for', 'with', 'was', 'were', 'this', 'that', 'from'))) AS ws FROM benchmark)
 SELECT x.item_id AS a, y.item_id AS b, len(list_intersect(x.ws, y.ws))::BIGINT AS shared FROM w x JOIN w y ON x.item_id < y.item_id WHERE len(list_intersect(x.ws, y.ws)) >= 12""")
