@@ -354,14 +354,14 @@ def store(data: bytes) -> bytes:
 
 
 def features(pages: list[np.ndarray]) -> str:
-    """Pages, rows, mean and spread of the samples, entropy in bits, and a difference hash of the first page."""
+    """Pages, rows, mean and spread of the samples, entropy in bits, and a difference hash of all rows."""
     counts = sum(np.bincount(p.ravel(), minlength=256) for p in pages)
     n = counts.sum()
     mean = (counts * np.arange(256)).sum() / n
     spread = np.sqrt((counts * (np.arange(256) - mean) ** 2).sum() / n)
     q = counts[counts > 0] / n
-    p = pages[0]
-    grid = np.add.reduceat(p.reshape(len(p), -1).astype(np.int64), np.linspace(0, ROW, 9, endpoint=False).astype(int), axis=1)
+    columns = np.linspace(0, ROW, 9, endpoint=False).astype(int)
+    grid = np.concatenate([np.add.reduceat(p.reshape(len(p), -1).astype(np.int64), columns, axis=1) for p in pages])
     rows = np.array([x.sum(0) for x in np.array_split(grid, min(8, len(grid)))])
     bits = np.packbits((rows[:, 1:] > rows[:, :-1]).ravel()).tobytes().hex()
     return f"pages={len(pages)};rows={sum(map(len, pages))};mean={mean:.4f};spread={spread:.4f};entropy={-(q * np.log2(q)).sum():.4f};hash={bits}"

@@ -58,3 +58,27 @@ def test_citations_are_sought_in_the_whole_registry(spark):
         want = plain(title, year)
         assert abs(got[k]["score"] - want) < 1e-9, (title, got[k], want)
         assert got[k]["status"] == ("valid" if want >= 0.92 else "partially_valid" if want >= 0.70 else "hallucinated")
+
+
+def test_tiff_hash_covers_every_page():
+    from corvane.llm import tiff
+
+    opening = "a" * (tiff.ROW * tiff.PAGE_ROWS)
+    texts = [opening + ("a" * 90 + "z" * 102) * n for n in (0, 3000)] + [opening + ("z" * 90 + "a" * 102) * 3000]
+    hashes = set()
+    for t in texts:
+        _, data = tiff.payload(t)
+        pages = [p for _, p in tiff.read_pages(tiff.store(data))]
+        got = tiff.features(pages).rsplit("hash=", 1)[1]
+        rows = [data[y : y + tiff.ROW] for y in range(0, len(data), tiff.ROW)]
+        cuts = [tiff.ROW * k // 9 for k in range(9)] + [tiff.ROW]
+        height, bands = len(rows), min(8, len(rows))
+        sizes = [height // bands + (k < height % bands) for k in range(bands)]
+        bits, at = "", 0
+        for n in sizes:
+            sums = [sum(sum(r[a:b]) for r in rows[at : at + n]) for a, b in zip(cuts, cuts[1:])]
+            bits += "".join("01"[y > x] for x, y in zip(sums, sums[1:]))
+            at += n
+        assert int(got, 16) == int(bits, 2)
+        hashes.add(got)
+    assert len(hashes) == 3
