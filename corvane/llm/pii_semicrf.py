@@ -372,7 +372,7 @@ def find(text: str, model: dict[str, list[float]]) -> tuple[list[tuple[int, int,
     base = base_spans(text)
     more = []
     for a, k, b in field_spans(text, model):
-        if not any(s < b and a < e for s, _, e in base):
+        if not any((s <= a and b <= e) or (t == k and s < b and a < e) for s, t, e in base):
             more.append((a, 4 + k, b))
     return base, sorted(base + more)
 

@@ -82,3 +82,15 @@ def test_tiff_hash_covers_every_page():
         assert int(got, 16) == int(bits, 2)
         hashes.add(got)
     assert len(hashes) == 3
+
+
+def test_field_spans_that_only_touch_another_kind_stay(monkeypatch):
+    from corvane.llm import pii_semicrf as P
+
+    text = "pay AT4111111111111111 now"  # the digits pass Luhn: a base card within the account number
+    (a, kind, b), = P.base_spans(text)
+    assert P.KINDS[kind] == "card"
+    iban, card, email = (P.TYPES.index(t) for t in ("iban", "card", "email"))
+    said = [(a - 2, iban, b), (a - 2, card, b), (a, iban, b), (a + 1, email, b), (b - 1, email, b + 3)]
+    monkeypatch.setattr(P, "field_spans", lambda *_: said)
+    assert P.find(text, {})[1] == sorted([(a, kind, b), (a - 2, 4 + iban, b), (b - 1, 4 + email, b + 3)])
