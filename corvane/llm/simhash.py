@@ -213,11 +213,9 @@ def links(unique: DataFrame, radius: int = RADIUS, crowd: int = CROWD, parts: in
     found = rows.where("probe").select("part", "value", "fp", "rep").join(index, ["part", "value"])
     found = found.where((F.col("fp") != F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius))
     found = found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-    if radius == 2:
+    if radius:
         dense = u.where(F.greatest(*[F.col(f"c{i}") for i in range(m)]) > crowd)
-        found = found.unionByName(ball_links(dense))
-    elif radius > 2:
-        raise ValueError("crowded values need a radius of at most 2")
+        found = found.unionByName(ball_links(dense) if radius == 2 else ball_pairs(dense, radius))
     return found.distinct()
 
 
@@ -230,6 +228,28 @@ def ball_links(fps: DataFrame) -> DataFrame:
     return sets.where("a < b")
 
 
+def ball(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, rep, at: each fingerprint with all values within radius."""
+    masks = F.array(*[F.lit(v).cast("long") for v in [0, *(1 << k for k in range(63)), -(1 << 63)]])
+    out = fps.select("fp", "rep", F.col("fp").alias("at"))
+    for k in range(radius):
+        out = out.select("fp", "rep", F.explode(F.transform(masks, lambda x: x.bitwiseXOR(F.col("at")))).alias("at"))
+        out = out.distinct() if k else out
+    return out
+
+
+def ball_pairs(fps: DataFrame, radius: int) -> DataFrame:
+    """All pairs within radius among fps (distinct fp, rep): the balls of half the radius, rounded up and down, of such a pair meet.
+
+    A value has a bounded number of neighbours, whatever the crowd, but a ball
+    has 65 rows for a radius of up to 2, 2,081 up to 4 and 43,745 up to 6.
+    """
+    a = ball(fps, radius - radius // 2)
+    b = ball(fps, radius // 2).select(F.col("fp").alias("fp2"), F.col("rep").alias("rep2"), "at")
+    near = a.join(b, "at").where((F.col("fp") != F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius))
+    return near.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node that links reach.
 

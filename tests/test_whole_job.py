@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -94,3 +98,21 @@ def test_field_spans_that_only_touch_another_kind_stay(monkeypatch):
     said = [(a - 2, iban, b), (a - 2, card, b), (a, iban, b), (a + 1, email, b), (b - 1, email, b + 3)]
     monkeypatch.setattr(P, "field_spans", lambda *_: said)
     assert P.find(text, {})[1] == sorted([(a, kind, b), (a - 2, 4 + iban, b), (b - 1, 4 + email, b + 3)])
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3])
+def test_links_of_every_radius_among_crowds(spark, radius):
+    from corvane.llm import simhash
+
+    r = np.random.default_rng(radius)
+    seen = {(0xABCDE << 40) | (k * 5) for k in range(12)}
+    for base in r.integers(0, 1 << 63, 4).tolist():
+        for _ in range(8):
+            f = base
+            for b in r.integers(0, 64, r.integers(0, 4)).tolist():
+                f ^= 1 << b
+            seen |= {f, f ^ 1}
+    fps = sorted(seen)
+    unique = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, rep long")
+    got = {(x["a"], x["b"]) for x in simhash.links(unique, radius=radius, crowd=3, parts=3).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= radius}
