@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import letter_ratio, squeeze
+from ..storage import written
 
 # Marks of people, of health, of safety events, of diseases near clinical verbs, of other subjects; bounded quantities.
 SUBJECT = (
@@ -80,22 +82,34 @@ def bounded_violations(text: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def gate(docs: DataFrame, sensitive: Column | None = None, paper: Column | None = None, min_chars: int = MIN_CHARS, min_letters: float = MIN_LETTERS) -> DataFrame:
-    """doc_id and reason: paper, sensitive, too_short, low_letter, dup, or null for rows that pass.
+def gate(
+    docs: DataFrame, sensitive: Column | None = None, paper: Column | None = None, min_chars: int = MIN_CHARS, min_letters: float = MIN_LETTERS,
+    carry: Sequence[str | Column] = (),
+) -> DataFrame:
+    """One row per row of docs: doc_id, the carried columns, and reason: paper, sensitive, too_short, low_letter, dup, or null for rows that pass.
 
-    A duplicate is a later row (by doc_id) with the squeezed text of a row that
-    nothing else stopped. First rows are found by partial minima of doc_id per
-    text digest and joined by doc_id, so copies never meet in one task.
+    A duplicate is a later row (by doc_id, then by position) with the squeezed text of a row that nothing else stopped.
+    Texts are read once; what they come to is written. First rows are then found by partial minima per text digest and
+    joined by their position, so copies never meet in one task and repeated ids stay one row each.
     """
     text = F.coalesce("text", F.lit(""))
     norm = squeeze(text)
     blocked = F.size(sensitive_signals(text)) > 0 if sensitive is None else sensitive
     reason = F.when(F.lit(False) if paper is None else paper, "paper").when(blocked, "sensitive")
     reason = reason.when(F.length(norm) < min_chars, "too_short").when(letter_ratio(norm) < min_letters, "low_letter")
-    marked = docs.select("doc_id", reason.alias("reason"), F.sha2(norm, 256).alias("digest"))
-    firsts = marked.where("reason is null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
-    got = marked.join(firsts, "doc_id", "left")
-    return got.select("doc_id", F.when(F.col("reason").isNull() & F.col("first").isNull(), "dup").otherwise(F.col("reason")).alias("reason"))
+    kept = docs.select("doc_id", *carry).columns[1:]
+    marked = docs.select("doc_id", *carry, reason.alias("reason"), F.sha2(norm, 256).alias("_digest"), F.monotonically_increasing_id().alias("_row"))
+    marked = written(marked, "gate")
+    firsts = marked.where("reason is null").groupBy("_digest").agg(F.min(F.struct("doc_id", "_row")).alias("f")).select("f._row", F.lit(True).alias("_first"))
+    got = marked.join(firsts, "_row", "left")
+    dup = F.col("reason").isNull() & F.col("_first").isNull()
+    return got.select("doc_id", *kept, F.when(dup, "dup").otherwise(F.col("reason")).alias("reason"))
+
+
+def gate_flagged(docs: DataFrame, **options) -> DataFrame:
+    """Rows that pass the gate, with the names of their quantities out of bounds; a row with such names stays."""
+    flags = bounded_violations(F.coalesce("text", F.lit(""))).alias("violations")
+    return gate(docs, carry=[*options.pop("carry", ()), flags], **options).where("reason is null").drop("reason")
 
 
 def hash_number(key: Column, salt: str = "") -> Column:
@@ -133,10 +147,17 @@ def held_out(rows: DataFrame, key: str, buckets: int = 20) -> DataFrame:
     return rows.withColumn("held", hash_number(F.col(key)) % buckets == 0)
 
 
-def every_nth(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """Each n-th row in the order, by range partitions and the counts before them; no task sees all rows."""
-    r = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+def every_nth(rows: DataFrame, order: str | list[str], n: int) -> DataFrame:
+    """Each n-th row in the order, from the first on; the order must tell rows apart if reruns are to agree.
+
+    Rows are range-partitioned and sorted once and written with their partition and place there; the counts of the
+    partitions before (a row for each partition, so small at any size) give each row's place in the whole.
+    """
+    order = [order] if isinstance(order, str) else order
+    at = F.monotonically_increasing_id()  # partition in the high bits, place there in the low 33
+    r = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    r = written(r.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND((1 << 33) - 1)), "every-nth")
     counts = r.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    r = r.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return r.join(before, "_part").where((F.col("_at") + F.col("_before") - 1) % n == 0).select(*rows.columns)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = r.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return r.where((F.col("_at") + F.col("_before")) % n == 0).select(*rows.columns)
