@@ -115,6 +115,16 @@ def token_bounds(text: Column) -> tuple[Column, Column]:
     return tuple(sum((n[k] / F.lit(v[end]) for k, v in CHARS_PER_TOKEN.items()), F.lit(0.0)) for end in (1, 0))
 
 
+def hangul_share(text: Column) -> Column:
+    """Hangul among all Hangul and Latin letters; 0 without letters."""
+    hangul = count_of(text, "가-힣")
+    return hangul / F.greatest(F.lit(1), hangul + count_of(text, "A-Za-z"))
+
+
+def usable_abstract(text: Column, least: int = 400, most: int = 1500, hangul: float = 0.5) -> Column:
+    return F.length(text).between(least, most) & (hangul_share(text) >= hangul)
+
+
 def strip_tags(html: Column) -> Column:
     """Text of a page: no scripts, styles or tags, the five common entities undone."""
     t = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")

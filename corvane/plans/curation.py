@@ -13,6 +13,7 @@ from ..operators import curation as C
 from ..operators import judging as J
 from ..operators import relations as R
 from ..sources.tables import html_records, table
+from .phrases import said, said_sql
 from .registry import query
 
 SQ = r"trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
@@ -25,14 +26,15 @@ def _re2(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-GATE = f"""
-WITH n AS (
-  SELECT doc_id, source, lang, {SQ} AS t,
-         CASE WHEN regexp_matches(text, '(?i){_re2(C.ADVERSE + "|" + C.ADVERSE_LATIN)}')
+SENSITIVE_SQL = f"""CASE WHEN regexp_matches(text, '(?i){_re2(C.ADVERSE + "|" + C.ADVERSE_LATIN)}')
                 OR (regexp_matches(text, '(?i){_re2(C.HEALTH + "|" + C.HEALTH_LATIN)}') AND regexp_matches(text, '(?i){_re2(C.SUBJECT + "|" + C.SUBJECT_LATIN)}'))
                 OR (NOT (regexp_matches(text, '(?i){_re2(C.HEALTH + "|" + C.HEALTH_LATIN)}') AND regexp_matches(text, '(?i){_re2(C.SUBJECT + "|" + C.SUBJECT_LATIN)}'))
                     AND regexp_matches(text, '(?i){_re2(C.CLINICAL)}') AND NOT regexp_matches(text, '(?i){_re2(C.NONHUMAN)}'))
-              THEN 'sensitive' END AS s
+              THEN 'sensitive' END"""
+
+GATE = f"""
+WITH n AS (
+  SELECT doc_id, source, lang, {SQ} AS t, {SENSITIVE_SQL} AS s
   FROM documents),
 r AS (
   SELECT *, CASE WHEN s IS NOT NULL THEN s WHEN length(t) < 200 THEN 'too_short'
@@ -57,9 +59,24 @@ def gate_stats(spark, sf):
 
 @query(GATE + "SELECT source, count(*)::BIGINT AS seen, count(*) FILTER (reason IS NULL)::BIGINT AS passed, count(*) FILTER (reason = 'dup')::BIGINT AS dup FROM g GROUP BY source")
 def gate_by_source(spark, sf):
-    docs = table(spark, sf, "documents")
-    r = C.gate(docs).join(docs.select("doc_id", "source"), "doc_id")
-    return r.groupBy("source").agg(F.count("*").alias("seen"), F.count_if(F.col("reason").isNull()).alias("passed"), F.count_if(F.col("reason") == "dup").alias("dup"))
+    return C.gate(table(spark, sf, "documents"), carry=["source"]).groupBy("source").agg(F.count("*").alias("seen"), F.count_if(F.col("reason").isNull()).alias("passed"), F.count_if(F.col("reason") == "dup").alias("dup"))
+
+
+GATED = ["", "환자 진단 ", "부작용 ", "당뇨 처방 ", "마우스 당뇨 처방 ", "pH 15.2 순도: 120 % ", ""]
+
+
+@query(GATE.replace("FROM documents)", f"""FROM (SELECT doc_id, source, lang, {said_sql("doc_id", GATED)} || CASE WHEN doc_id % 11 = 7 THEN repeat('12 34 ', 50) || doc_id ELSE coalesce(text, '') END AS text FROM documents))""")
+  .replace("CASE WHEN s IS NOT NULL THEN s", "CASE WHEN doc_id % 13 = 5 THEN 'paper' WHEN s IS NOT NULL THEN s") + "SELECT doc_id, reason FROM g")
+def gate_every_reason(spark, sf):
+    text = F.concat(said("doc_id", GATED), F.when(F.col("doc_id") % 11 == 7, F.concat(F.lit("12 34 " * 50), F.col("doc_id").cast("string"))).otherwise(F.coalesce("text", F.lit(""))))
+    return C.gate(table(spark, sf, "documents").withColumn("text", text), paper=F.col("doc_id") % 13 == 5)
+
+
+@query(GATE.replace("FROM documents)", f"""FROM (SELECT doc_id, source, lang, {said_sql("doc_id", GATED)} || coalesce(text, '') AS text FROM documents))""") + """SELECT doc_id, CASE WHEN doc_id % 7 = 5 THEN ['pH', '순도'] ELSE [] END::VARCHAR AS violations FROM g WHERE reason IS NULL""")
+def gate_flagged(spark, sf):
+    text = F.concat(said("doc_id", GATED), F.coalesce("text", F.lit("")))
+    d = C.gate_flagged(table(spark, sf, "documents").withColumn("text", text))
+    return d.select("doc_id", F.concat(F.lit("["), F.array_join("violations", ", "), F.lit("]")).alias("violations"))
 
 
 @query(f"SELECT count(*)::BIGINT AS n, count(DISTINCT t)::BIGINT AS kinds, (count(*) - count(DISTINCT t))::DOUBLE / count(*) AS dup_share FROM (SELECT {SQ} AS t FROM documents) WHERE t <> ''")
@@ -170,12 +187,6 @@ def turn_count_histogram(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("c")).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT y AS year, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '[^0-9]((?:19|20)[0-9]{2})[^0-9]', 1)) AS y FROM documents) GROUP BY y""")
-def year_histogram(spark, sf):
-    y = F.explode(F.regexp_extract_all("text", F.lit("[^0-9]((?:19|20)[0-9]{2})[^0-9]"), 1))
-    return table(spark, sf, "documents").select(y.alias("year")).groupBy("year").agg(F.count("*").alias("n"))
-
-
 @query(r"SELECT conv_id, count(*)::BIGINT AS pages, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def joined_turns(spark, sf):
     g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
