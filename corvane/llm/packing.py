@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,35 +51,37 @@ SCHEMA = (
 
 
 def kk_partition(sizes: list[int], k: int) -> list[list[int]]:
-    """Indices of sizes in k subsets of near-equal sums, by the largest differencing method. Ties: the earlier item."""
-    if k <= 1 or not sizes:
-        return [list(range(len(sizes)))] + [[] for _ in range(k - 1)]
-    heap = []
-    for i, x in enumerate(sizes):
-        heap.append((-x, i, [x] + [0] * (k - 1), [(i, None)] + [None] * (k - 1)))
+    """Indices of sizes in k subsets of near-equal sums, by the largest differencing method. Ties: the earlier item.
+
+    A partial partition is held as its occupied subsets alone, fullest first: two of them overlap only where
+    together they occupy more than k.
+    """
+    heap = [(-x, i, [(x, (i,))]) for i, x in enumerate(sizes)]
     heapq.heapify(heap)
     serial = len(sizes)
     while len(heap) > 1:
-        _, _, a, ga = heapq.heappop(heap)
-        _, _, b, gb = heapq.heappop(heap)
-        loads = [x + y for x, y in zip(a, reversed(b))]
-        order = sorted(range(k), key=loads.__getitem__, reverse=True)
-        gb = gb[::-1]
-        groups = [(ga[j], gb[j]) if ga[j] and gb[j] else ga[j] or gb[j] for j in order]
-        loads = [loads[j] for j in order]
-        heapq.heappush(heap, (loads[-1] - loads[0], serial, loads, groups))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        over = max(0, len(a) + len(b) - k)
+        if len(b) == 1 and not over:
+            insort(a, b[0], key=_emptier)
+        else:
+            both = [(x + y, (p, q)) for (x, p), (y, q) in zip(a[len(a) - over :], reversed(b[len(b) - over :]))]
+            a = sorted(a[: len(a) - over] + b[: len(b) - over] + both, key=_emptier)
+        heapq.heappush(heap, ((a[-1][0] if len(a) == k else 0) - a[0][0], serial, a))
         serial += 1
     out = []
-    for tree in heap[0][3]:
-        found, stack = [], [tree] if tree else []
+    for _, tree in heap[0][2] if heap else ():
+        found, stack = [], [tree]
         while stack:
-            x, y = stack.pop()
-            if y is None and isinstance(x, int):
-                found.append(x)
-            else:
-                stack += [x, y]
+            for x in stack.pop():
+                found.append(x) if isinstance(x, int) else stack.append(x)
         out.append(sorted(found))
-    return out
+    return out + [[] for _ in range(k - len(out))]
+
+
+def _emptier(subset: tuple) -> int:
+    return -subset[0]
 
 
 def pack_sizes(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
