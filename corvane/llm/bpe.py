@@ -1,25 +1,35 @@
-"""Byte-level BPE ids through the tokenizers library, with each distinct word encoded once.
+"""Byte-level BPE ids through the tokenizers library, word by word, with a bounded table of words seen.
 
 A byte-level pre-tokenizer always starts a new piece at a single space that
 stands between two non-space characters, and gives a single line feed between
 two such characters a piece of its own. Cutting there, encoding the parts and
-joining their ids therefore equals encoding the whole text. Trailing ASCII
-punctuation of a purely alphabetic word is a piece as well. Everything else
-(runs of white space, digits, other scripts' spaces) goes to the library as it
-stands, so the ids are always the library's own.
+joining their ids therefore equals encoding the whole text. A word of letters
+alone is one piece, with its space, and goes to the library's model as such;
+ASCII punctuation after it is a piece as well. Every other word goes through
+the whole tokenizer. A text with other spacing (runs of white space, other
+scripts' spaces) or with the string of an added token goes to the tokenizer as
+it stands, so the ids are always the library's own.
+
+Tables are bounded by bytes, in two generations: a full one becomes the older,
+whose words come back when they are met again.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
+from array import array
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words kept in a worker's table; when it is full, it starts anew.
-MAX_WORDS = 1_000_000
+#: Bytes, as Python holds them, of one generation of a worker's table of words, and of line heads.
+TABLE_BYTES = 32 << 20
+HEAD_BYTES = 8 << 20
+#: Characters after which a text with other spacing is cut where that is exact.
+STRETCH = 50_000
 _PUNCT = ".,"
 
 
@@ -29,115 +39,107 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in prints)
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Odd(Exception):
+    """A word at whose ends a text may not be cut."""
+
+
+class Words(dict):
+    """word -> its ids as little-endian 16-bit bytes; learns what it lacks, and keeps at most two generations."""
+
+    def __init__(self, bpe: Bpe, space: str, most: int):
+        self.bpe, self.most, self.size, self.old = bpe, most, 0, {}
+        self.space, self.opening = space, bpe.letters[32] if space else ""
+        self.tokenize = bpe.lib.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            core = word.rstrip(_PUNCT)
+            if core.isascii() and core.isalpha():
+                ids = array("H", [t.id for t in self.tokenize(self.opening + core)]).tobytes()
+                if len(core) < len(word):
+                    ids += self.bpe.heads[word[len(core) :]]
+            else:
+                ids = self.bpe.word(self.space, word)
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[word] = ids
+        self.size += 4 * len(word) + len(ids) + 240  # two objects and a slot in a table that may be a third full
+        return ids
+
+
 class Bpe:
     """encode(texts): for each text its ids as a uint16 array (the vocabulary has fewer than 65,536 entries)."""
 
-    def __init__(self, path: str | None = None, max_words: int = MAX_WORDS):
+    def __init__(self, path: str | None = None, table_bytes: int = TABLE_BYTES, head_bytes: int = HEAD_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path or default_path())
-        self.lib.encode_special_tokens = True  # such strings in a text are ordinary text
-        size = self.lib.get_vocab_size()
-        if size > 65_536:
+        if self.lib.get_vocab_size() > 65_536:
             raise ValueError("ids must fit into 16 bits")
-        self.opens = np.zeros(size, dtype=bool)  # tokens that begin with the space
-        for token, i in self.lib.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")
-        self.max_words = max_words
-        self.inner: dict[str, bytes] = {}  # of ' word', as little-endian 16-bit ids
-        self.first: dict[str, bytes] = {}
+        if sys.byteorder != "little":
+            raise ValueError("ids are kept as the machine's 16-bit integers, which must be little-endian")
+        self.tokenize = self.lib.model.tokenize
+        self.letters = byte_letters()
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.inner = Words(self, " ", table_bytes)
+        self.heads = Words(self, "", head_bytes)
         self.newline = self._raw("\n")
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, each with its space, as one text, and part the ids where a token opens with the space."""
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            # encode() as a list of ids; one long text is cheaper than many short ones
-            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(some):
-                raise AssertionError("a word holds a space")
-            ends = np.append(at[1:], len(ids)) * 2
-            raw = ids.tobytes()
-            for w, a, b in zip(some, (at * 2).tolist(), ends.tolist()):
-                self.inner[w] = raw[a:b]
-
-    def _prepare(self, words: set[str]) -> None:
-        new = words.difference(self.inner)
-        if not new:
-            return
-        if len(self.inner) + len(new) > self.max_words:
-            self.inner.clear()
-        plain, marked = set(), []
-        for w in new:
-            core = w.rstrip(_PUNCT)
-            if core is not w and core.isalpha() and core != w:
-                marked.append((w, core))
-                if core not in self.inner:
-                    plain.add(core)
-            elif w:
-                plain.add(w)
-        self._learn(list(plain))
-        for w, core in marked:
-            tail = w[len(core) :]
-            if tail not in self.first:
-                self.first[tail] = self._raw(tail)
-            self.inner[w] = self.inner[core] + self.first[tail]
-
-    @staticmethod
-    def _sound(word: str) -> bool:
-        """Whether cutting before the word's space, and after it, is exact: no space of any kind inside or around."""
-        return bool(word) and word.split() == [word] and not any("\x1c" <= c <= "\x1f" for c in word)
+    def word(self, space: str, word: str) -> bytes:
+        """The ids of one word with the space before it. Odd: no word, or a space of some kind in it."""
+        core = word.rstrip(_PUNCT)
+        # letters of the basic plane are letters to every version of Unicode in use
+        if core.isalpha() and max(core) <= "\uffff":
+            spelled = core.encode().decode("latin-1").translate(self.letters)
+            ids = array("H", [t.id for t in self.tokenize((self.letters[32] if space else "") + spelled)]).tobytes()
+            return ids + self.heads[word[len(core) :]] if len(core) < len(word) else ids
+        if word.split() != [word] or any("\x1c" <= c <= "\x1f" for c in word):
+            raise Odd
+        return self._raw(space + word)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        get = self.inner.get
-        done: list[list[list]] = []
-        gaps: list[tuple[list, int, str]] = []
-        heads: set[str] = set()
-        for text in batch:
-            rows = []
-            for line in text.split("\n"):
-                words = line.split(" ")
-                heads.add(words[0])
-                ids = list(map(get, words))
-                ids[0] = words[0]
-                if None in ids:
-                    gaps += [(ids, k, words[k]) for k, x in enumerate(ids) if x is None]
-                rows.append(ids)
-            done.append(rows)
-        if len(self.first) > self.max_words // 4:
-            self.first.clear()
-        new = [w for w in heads if w and w not in self.first and self._sound(w)]
-        if new:
-            got = self.lib.encode_batch_fast(new, add_special_tokens=False)
-            self.first.update((w, np.array(e.ids, dtype="<u2").tobytes()) for w, e in zip(new, got))
-        if gaps:
-            self._prepare({w for w in {x[2] for x in gaps} if self._sound(w)})
-            for ids, k, w in gaps:
-                ids[k] = self.inner.get(w)
-        out = []
-        first = self.first.get
-        for text, rows in zip(batch, done):
-            raw = []
-            for ids in rows:
-                ids[0] = first(ids[0])
-                if None in ids:  # other spacing somewhere in this text
-                    raw = None
-                    break
-                raw.append(b"".join(ids))
-            joined = b"".join(self._careful(text)) if raw is None else self.newline.join(raw)
-            out.append(np.frombuffer(joined, dtype="<u2"))
-        return out
+        collects = gc.isenabled()
+        gc.disable()  # none of the many small objects made here is part of a cycle
+        try:
+            return [np.frombuffer(self._encode(text), dtype="<u2") for text in batch]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.added.search(text) is None:
+            inner, heads = self.inner.__getitem__, self.heads.__getitem__
+            try:
+                lines = []
+                for line in text.split("\n"):
+                    words = line.split(" ")
+                    words[0], ids = heads(words[0]), map(inner, words[1:])  # Odd where the line begins with a space
+                    lines.append(words[0] + b"".join(ids))
+                return self.newline.join(lines)
+            except Odd:
+                pass
+        return b"".join(self._careful(text))
 
     def _careful(self, text: str):
         """A text with other spacing: pieces of bounded length, cut only at single spaces between ASCII letters."""
-        at, most = 0, 50_000
-        safe = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-        while len(text) - at > most and (m := safe.search(text, at + most)):
+        at, safe = 0, re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+        while len(text) - at > STRETCH and (m := safe.search(text, at + STRETCH)):
             yield self._raw(text[at : m.start()])
             at = m.start()
         yield self._raw(text[at:])

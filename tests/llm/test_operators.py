@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from corvane.llm import bpe as bpe_module
 from corvane.llm import chat, hilbert, mixing, packing, pii_semicrf, rans, secret_crf, simhash, tiff, toxicity
 from corvane.llm.common import documents
 
@@ -357,9 +358,22 @@ def library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ODD_TEXTS = [
+    "", "a", "\n", "\n\n", "a\n", "a\n\nb", " a", "a ", "a  b", "a\tb", "don't we'll it's", "a1b2 c3.", "x<|endoftext|>y", "<|endoftext|>", "ab, cd. ef.. gh.,",
+    "...", ". a", "a .b", "héllo wörld ñ. 日本語 テスト。", "\x1c a", "a\x1cb", "word\u3000x y", "a\xa0b", "a\r\nb", "1. 2, 3", "한국어 텍스트, 입니다.", "a b\n c", "a_b __c", "𝒳𝒴 z", "A.\nB.",
+]
+
+
+@pytest.mark.parametrize("table", [1 << 20, 2000])
+def test_ids_are_the_librarys_own_with_tables_of_any_size(spark, small, table):
+    t, bpe = library(), bpe_module.Bpe(table_bytes=table, head_bytes=table // 4)
+    texts = ODD_TEXTS + [r["text"] or "" for r in documents(spark, small).collect()] + [LONG]
+    for x, ids in zip(texts + texts, bpe.encode(texts) + bpe.encode(texts)):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x[:50]
+    assert bpe.inner.size <= table + 300 and bpe.encode(["a<|endoftext|>b"])[0].tolist() == [64, 50256, 65]
 
 
 def test_packing_holds_every_id_once(spark, small, odd):
