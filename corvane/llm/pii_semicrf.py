@@ -30,6 +30,7 @@ import functools
 import hashlib
 import random
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,6 +43,8 @@ from .common import keyed_texts, texts
 TYPES = ("email", "ip", "card", "phone", "ssn", "iban")
 KINDS = ("email", "ip", "card", "phone", *(f"crf_{t}" for t in TYPES))
 LONGEST, MOST_CHARS = 24, 64
+#: Tokens for which candidates are made at a time.
+STRETCH = 512
 TRAINING_LINES, EPOCHS, SEED = 400, 25, 11
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -158,32 +161,45 @@ def features(s: str, before: str, after: str) -> list[str]:
 
 
 
+def tokens(text: str, a: int, b: int) -> tuple[array, array, bytearray]:
+    """Starts, ends and seeds of an island's tokens, some twenty bytes each."""
+    starts, ends, seeds = array("q"), array("q"), bytearray()
+    for m in TOKEN.finditer(text, a, b):
+        starts.append(m.start())
+        ends.append(m.end())
+        seeds.append(SEED_AT.search(text, m.start(), m.end()) is not None or m[0].lower() == "at")
+    return starts, ends, seeds
+
+
+def lead_of(text: str, a: int) -> str:
+    before = re.search(r"([^\s]+)\s?$", text[max(0, a - 40) : a])
+    return before[1].strip(":.,#") if before else ""
+
+
+def starting(text: str, a: int, b: int, starts: array, ends: array, seeds: bytearray, lead: str, i: int) -> Iterator[tuple[int, int, str, str]]:
+    """Candidate segments that start with token i: first and last token, text before and after."""
+    x = starts[i]
+    c = text[x]
+    if not (c.isalnum() or c in "+(") or (x > a and c.isalnum() and text[x - 1].isalnum()):
+        return  # no start, or inside a run of letters and digits
+    k = x
+    while k > max(a, x - 24) and not text[k - 1].isspace():
+        k -= 1
+    before, held = text[k:x] or lead, 0
+    for j in range(i, min(i + LONGEST, len(starts))):
+        held |= seeds[j]
+        y = ends[j]
+        if y - x > MOST_CHARS:
+            break
+        if held and text[y - 1].isalnum() and not (y < b and text[y].isalnum()):
+            yield i, j, before, text[y : min(y + 2, b)]
+
+
 def segments(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, str]]]:
-    """An island's tokens, and its candidate segments: first and last token, text before and after."""
-    toks = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-    seeds = [SEED_AT.search(text, x, y) is not None or text[x:y].lower() == "at" for x, y in toks]
-    before_run = re.search(r"([^\s]+)\s?$", text[max(0, a - 40) : a])
-    lead = before_run[1].strip(":.,#") if before_run else ""
-    out = []
-    for i, (x, _) in enumerate(toks):
-        c = text[x]
-        if not (c.isalnum() or c in "+("):
-            continue
-        if x > a and c.isalnum() and text[x - 1].isalnum():
-            continue  # inside a run of letters and digits
-        k = x
-        while k > max(a, x - 24) and not text[k - 1].isspace():
-            k -= 1
-        glued = text[k:x]
-        held = False
-        for j in range(i, min(i + LONGEST, len(toks))):
-            held = held or seeds[j]
-            y = toks[j][1]
-            if y - x > MOST_CHARS:
-                break
-            if held and text[y - 1].isalnum() and not (y < b and text[y].isalnum()):
-                out.append((i, j, glued or lead, text[y : min(y + 2, b)]))
-    return toks, out
+    """An island's tokens, and all its candidate segments, for training on short lines."""
+    starts, ends, seeds = tokens(text, a, b)
+    lead = lead_of(text, a)
+    return list(zip(starts, ends)), [s for i in range(len(starts)) for s in starting(text, a, b, starts, ends, seeds, lead, i)]
 
 
 def _generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -333,41 +349,61 @@ def train(lines: int = TRAINING_LINES, epochs: int = EPOCHS, seed: int = SEED) -
 
 
 def field_spans(text: str, model: dict[str, list[float]]) -> list[tuple[int, int, int]]:
-    """(start, type, end) of the best segmentation."""
+    """(start, type, end) of the best segmentation.
+
+    An island of any length is walked in stretches of STRETCH tokens: candidates
+    and their features are made for one stretch at a time, the last LONGEST
+    places of the dynamic program are held, and of each token only where the
+    best segment that ends there starts.
+    """
     out = []
-    bias = np.array(model["bias"])
     none = [0.0] * len(TYPES)
     for a, b in islands(text):
-        toks, segs = segments(text, a, b)
-        if not segs:
-            continue
-        score = np.array([[model.get(f, none) for f in features(text[toks[i][0] : toks[j][1]], p, q)] for i, j, p, q in segs]).sum(1)
-        assert score.shape[1] == len(bias)
-        kind, best_of = score.argmax(1).tolist(), score.max(1).tolist()
-        ends: list[list[int]] = [[] for _ in toks]
-        for s, (_, j, _, _) in enumerate(segs):
-            if best_of[s] > 0:
-                ends[j].append(s)
-        best, back = [0.0], [-1]
-        for j in range(len(toks)):
-            v, c = best[j], -1
-            for s in ends[j]:
-                if (x := best[segs[s][0]] + best_of[s]) > v:
-                    v, c = x, s
-            best.append(v)
-            back.append(c)
-        j = len(toks)
+        starts, ends, seeds = tokens(text, a, b)
+        lead, n = lead_of(text, a), len(starts)
+        back, kinds = array("q", [-1]) * (n + 1), bytearray(n + 1)
+        ring: list[tuple[float, int, int]] = [NOTHING] * (LONGEST + 1)  # by place: score, first token, type
+        best = 0.0
+        for low in range(0, n, STRETCH):
+            some = [s for i in range(low, min(low + STRETCH, n)) for s in starting(text, a, b, starts, ends, seeds, lead, i)]
+            if some:
+                each = [(text[starts[i] : ends[j]], p, q) for i, j, p, q in some]
+                place: dict[tuple, int] = {}  # equal segments, as in long runs of one pattern, are scored once
+                which = [place.setdefault(s, len(place)) for s in each]
+                score = np.array([[model.get(f, none) for f in features(*s)] for s in place]).sum(1)
+                kind, worth = score.argmax(1)[which].tolist(), score.max(1)[which].tolist()
+            at = 0
+            for i in range(low, min(low + STRETCH, n)):
+                best = _arrive(i, best, ring, back, kinds)
+                while at < len(some) and some[at][0] == i:
+                    slot = (some[at][1] + 1) % (LONGEST + 1)
+                    if worth[at] > 0 and best + worth[at] > ring[slot][0]:
+                        ring[slot] = (best + worth[at], i, kind[at])
+                    at += 1
+        _arrive(n, best, ring, back, kinds)
+        j = n
         while j > 0:
-            s = back[j]
-            if s < 0:
-                j -= 1
-            else:
-                i, e, _, _ = segs[s]
-                out.append((toks[i][0], kind[s], toks[e][1]))
-                j = i
+            i = back[j]
+            if i >= 0:
+                out.append((starts[i], kinds[j], ends[j - 1]))
+            j = i if i >= 0 else j - 1
     return sorted(out)
 
 
+NOTHING = (-1.0, -1, 0)
+
+
+def _arrive(place: int, best: float, ring: list, back: array, kinds: bytearray) -> float:
+    """The best score up to a place: the best segment that ends there, or the token before it left outside."""
+    slot = place % (LONGEST + 1)
+    value, first, kind = ring[slot]
+    ring[slot] = NOTHING
+    if value > best:
+        back[place], kinds[place] = first, kind
+        return value
+    return best
+
+
 def find(text: str, model: dict[str, list[float]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
     more = []
