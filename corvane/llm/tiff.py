@@ -18,14 +18,14 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, ready, texts
+from .common import ROWS, keyed_texts, ship, texts
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -37,6 +37,8 @@ MAX_PAGE = 1 << 28
 #: The payload's pixels: 64 of three samples a row, 192 bytes; rows on a page.
 ROW, PAGE_ROWS = 192, 1024
 PART_ROWS = 64
+#: Bytes of pixels in one batch of pages.
+OUT_BYTES = 1 << 24
 
 
 class TiffError(ValueError):
@@ -309,16 +311,25 @@ PAGES = (
 )
 
 
-def tiff_pages(files: DataFrame, key: str = "doc_id", content: str = "content", max_page_bytes: int = MAX_PAGE) -> DataFrame:
-    """One row per page of the TIFF files in column content."""
-    ready(files.sparkSession, 64)
-    rows = files.where(F.col(content).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(content).alias("data"))
+def tiff_pages(files: DataFrame, key: str = "doc_id", content: str = "content", max_page_bytes: int = MAX_PAGE, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per page of the TIFF files in column content, a file's pages in order and next to each other; the carried columns go with each page."""
+    ship(files.sparkSession)
+    rows = files.where(F.col(content).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(content).alias("data"), *carry)
+    extra = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), *[pa.int32()] * 6, pa.bool_(), pa.int64(), pa.binary(), pa.string()]
-        names = ["doc_id", "page", "width", "height", "samples", "compression", "predictor", "tiled", "n_bytes", "pixels", "error"]
+        names = ["doc_id", "page", "width", "height", "samples", "compression", "predictor", "tiled", "n_bytes", "pixels", "error", *carry]
+
+        def made(b: pa.RecordBatch, held: list[list], at: list[int]) -> pa.RecordBatch:
+            more = [b.column(c).take(pa.array(at)) for c in range(2, b.num_columns)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)] + more, names=names)
+
         for b in batches:
-            for k, v in zip(b.column(0).to_pylist(), b.column(1)):
+            held: list[list] = []
+            at: list[int] = []
+            size = 0
+            for r, (k, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 n, pages = 0, read_pages(bytes(v.as_py()), max_page_bytes)
                 while True:
                     try:
@@ -328,12 +339,19 @@ def tiff_pages(files: DataFrame, key: str = "doc_id", content: str = "content",
                         break
                     except (TiffError, struct.error) as e:
                         row = [k, n, *[None] * 8, str(e)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
+                    held.append(row)
+                    at.append(r)
+                    size += row[8] or 0
                     n += 1
+                    if size > OUT_BYTES or len(held) >= ROWS:
+                        yield made(b, held, at)
+                        held, at, size = [], [], 0
                     if row[-1]:
                         break
+            if held:
+                yield made(b, held, at)
 
-    return rows.mapInArrow(run, PAGES.format(key="doc_id long"))
+    return rows.mapInArrow(run, ", ".join([PAGES.format(key="doc_id long"), *extra]))
 
 
 # texts as pictures
@@ -353,18 +371,47 @@ def store(data: bytes) -> bytes:
     return write_tiff([a[y : y + PAGE_ROWS] for y in range(0, len(a), PAGE_ROWS)], codec, predictor, tile)
 
 
+class Features:
+    """Pages, rows, mean and spread of the samples, entropy in bits, and a difference hash of all rows, page by page."""
+
+    def __init__(self) -> None:
+        self.counts, self.pages = np.zeros(256, dtype=np.int64), 0
+        self.grid: list[np.ndarray] = []  # eight sums of each row
+
+    def add(self, page: np.ndarray) -> None:
+        self.counts += np.bincount(page.ravel(), minlength=256)
+        self.pages += 1
+        columns = np.linspace(0, ROW, 9, endpoint=False).astype(int)
+        self.grid.append(np.add.reduceat(page.reshape(len(page), -1), columns, axis=1, dtype=np.uint32))
+
+    def said(self) -> str:
+        counts, n = self.counts, self.counts.sum()
+        mean = (counts * np.arange(256)).sum() / n
+        spread = np.sqrt((counts * (np.arange(256) - mean) ** 2).sum() / n)
+        q = counts[counts > 0] / n
+        grid = np.concatenate(self.grid)
+        rows = np.array([x.sum(0, dtype=np.int64) for x in np.array_split(grid, min(8, len(grid)))])
+        bits = np.packbits((rows[:, 1:] > rows[:, :-1]).ravel()).tobytes().hex()
+        return f"pages={self.pages};rows={len(grid)};mean={mean:.4f};spread={spread:.4f};entropy={-(q * np.log2(q)).sum():.4f};hash={bits}"
+
+
 def features(pages: list[np.ndarray]) -> str:
-    """Pages, rows, mean and spread of the samples, entropy in bits, and a difference hash of all rows."""
-    counts = sum(np.bincount(p.ravel(), minlength=256) for p in pages)
-    n = counts.sum()
-    mean = (counts * np.arange(256)).sum() / n
-    spread = np.sqrt((counts * (np.arange(256) - mean) ** 2).sum() / n)
-    q = counts[counts > 0] / n
-    columns = np.linspace(0, ROW, 9, endpoint=False).astype(int)
-    grid = np.concatenate([np.add.reduceat(p.reshape(len(p), -1).astype(np.int64), columns, axis=1) for p in pages])
-    rows = np.array([x.sum(0) for x in np.array_split(grid, min(8, len(grid)))])
-    bits = np.packbits((rows[:, 1:] > rows[:, :-1]).ravel()).tobytes().hex()
-    return f"pages={len(pages)};rows={sum(map(len, pages))};mean={mean:.4f};spread={spread:.4f};entropy={-(q * np.log2(q)).sum():.4f};hash={bits}"
+    f = Features()
+    for p in pages:
+        f.add(p)
+    return f.said()
+
+
+def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes and media: each text as a TIFF file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, some in texts(batches, 64):
+            made = [(n, store(data)) for n, data in map(payload, some)]
+            cols = [pa.array(keys, pa.int64()), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "media"])
+
+    return keyed_texts(docs, key, text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 DIGESTS = (
@@ -373,22 +420,46 @@ DIGESTS = (
 )
 
 
-def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text stored as a TIFF file, that file read again page by page, and what was read described."""
+def described(pages: DataFrame) -> DataFrame:
+    """One row per file from its pages (tiff_pages' rows in their order, with text_bytes, media_bytes and media_sha256): digests and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [c.split()[0] for c in DIGESTS.split(", ")]
-        for keys, some in texts(batches):
-            out: list[list] = [[] for _ in names]
-            for k, t in zip(keys, some):
-                n, data = payload(t)
-                media = store(data)
-                pages = [p for _, p in read_pages(media)]
-                got = b"".join(p.tobytes() for p in pages)
-                row = (k, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pages))
-                for col, v in zip(out, row):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-
-    return keyed_texts(docs, key, text).mapInArrow(run, DIGESTS)
+        head, out = None, []
+
+        def finished() -> tuple:
+            return (head[0], head[1], size, digest.hexdigest(), zlib.crc32(tail), head[2], head[3], feature.said())
+
+        for b in batches:
+            for r in range(b.num_rows):
+                k, page, height, pixels, error, *more = (b.column(c)[r].as_py() for c in range(b.num_columns))
+                if error:
+                    raise TiffError(f"the stored file of {k}: {error}")
+                if page == 0:
+                    if head:
+                        out.append(finished())
+                    head, size, tail, digest, feature = (k, *more), 0, b"", hashlib.sha256(), Features()
+                digest.update(pixels)
+                size, tail = size + len(pixels), (tail + pixels[-16:])[-16:]
+                feature.add(np.frombuffer(pixels, dtype=np.uint8).reshape(height, -1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                out = []
+        if head:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(finished()), kinds)], names=names)
+
+    return pages.select("doc_id", "page", "height", "pixels", "error", "text_bytes", "media_bytes", "media_sha256").mapInArrow(run, DIGESTS)
+
+
+def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each text stored as a TIFF file, that column read again page by page, and the pages described.
+
+    The three steps run in one stage, without a shuffle, so a file's pages stay
+    next to each other. A null text is stored as an empty one (one row of
+    spaces); texts of any length take as many pages as they need; repeated rows
+    and ids give their rows each; an empty table gives none; other columns are
+    ignored.
+    """
+    files = stored(docs, key, text).select("doc_id", F.col("n_bytes").alias("text_bytes"), "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    return described(tiff_pages(files, content="media", carry=["text_bytes", "media_bytes", "media_sha256"]))
