@@ -1,10 +1,9 @@
-"""What several operators share: the shared folder, written tables, batches."""
+"""What several operators share: the package on the executors, written tables, batches."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from ..storage import shared_path, shared_root, written  # noqa: F401  (for the operators)
+
+#: Rows that a Python operator has in its hands at a time.
+ROWS = 256
 _shipped: list[str] = []
 
 
@@ -31,53 +33,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.append(app)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="corvane-"))
-        spark.sparkContext.setCheckpointDir(_own_dir[0])
-    return "file://" + _own_dir[0]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; Hadoop deletes it when the session's JVM ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ready(spark: SparkSession, rows: int = 256) -> None:
-    """Before a Python operator: ship() it, and keep its Arrow batches small, as one text may be very long."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that an operator reads, under its own names; a null text is empty."""
-    ready(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def texts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of at most so many rows at a time; Spark bounds a batch by bytes, this what is made of it."""
     for b in batches:
-        if b.num_rows:
-            yield b.column(0).to_pylist(), b.column(1).to_pylist()
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ready, written
+from .common import ship, written
 
 CURVES, DIMS, CELL_BITS, BLOCK, K, SEED = 3, 6, 8, 2048, 20, 5
 #: Queries sent to a block together, and block limits kept in one row.
@@ -229,7 +229,7 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for ids divisible by every. exact=False stops after the windows."""
     spark = rows.sparkSession
-    ready(spark)
+    ship(spark)
     some, dim = usable(rows, key, vector)
     result = "query_id long, rank int, vec_id long, score double"
     if not dim:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, ready, texts, written
+from .common import keyed_texts, ship, texts, written
 
 WIDTH = 3
 SEED = 42
