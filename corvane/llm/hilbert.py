@@ -3,20 +3,23 @@
 Vectors are projected onto a few random directions, once for each of several
 curves, shifted by another offset each time, and sorted along a Hilbert curve:
 Spark range-partitions by (curve, key), so that rows near each other on a curve
-lie in one block of at most ``BLOCK`` rows or in the next.
-
-1. Windows: a query meets the rows of its own block and of the two beside it,
-   on every curve. The merged candidates are ranked again by the exact inner
-   product, and the k-th of them is a lower bound for what is still missing.
-2. The rest, exactly: each block of the first curve has a centre c and a radius
-   r, and no row in it has an inner product with q above q.c + |q| r. Blocks
-   whose limit is below the query's bound are skipped; the others are scanned.
-
-So every row is a candidate of every query unless it is proven to be too far
-away, recall is 1 by construction, and how much is scanned depends on how
-clustered the vectors are. Queries are replicated to blocks in packs of bounded
-size; blocks cut by rank, so equal vectors spread over many of them. Nothing is
-broadcast, and no list of rows reaches the driver.
+lie in one block of at most ``BLOCK`` rows or in one nearby. A query meets the
+rows within ``reach`` places of its own on every curve; the merged candidates
+are ranked by the exact inner product.
+
+How many curves and which reach are fitted: PROBES queries, those of the
+smallest hashes, are compared with all rows, and the places of their true
+neighbours on every curve say for each number of curves which reach finds AIM
+of them. The pair that visits the fewest rows is taken, measured recall and
+share are printed to the log. Where no pair visits fewer rows than there are,
+as with vectors spread evenly in many dimensions, one curve with a reach of the
+whole table is the cheapest: a stated query set against all rows, in blocks.
+``exact=True`` asks for that.
+
+Copies are settled before: of equal vectors the k + 1 smallest ids are indexed,
+as no other can be among k nearest, and equal queries are answered once. Rows
+of a curve go in spans of bounded size, so no list grows with the table.
+Nothing is broadcast but the probes and a row for each partition.
 
 Vectors that are null, zero, without a finite number in every place, of another
 length than most, or without an id take no part. Ties go to the smaller id. If
@@ -26,6 +29,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +41,13 @@ from pyspark.sql.window import Window
 
 from .common import ship, written
 
-CURVES, DIMS, CELL_BITS, BLOCK, K, SEED = 3, 6, 8, 2048, 20, 5
-#: Queries sent to a block together, and block limits kept in one row.
-PACK, CHUNK = 1024, 1024
+CURVES, DIMS, CELL_BITS, BLOCK, K, SEED = 6, 6, 8, 1024, 20, 5
+#: Queries that fit the windows, and the share of their neighbours that windows must find (0.9 is asked of all).
+PROBES, AIM = 128, 0.95
+#: Blocks in the widest span of rows that one task scans at once, source spans that meet it together, and scores made at a time.
+SPAN_BLOCKS, SOURCES, SCORES = 32, 8, 1 << 22
+
+log = logging.getLogger(__name__)
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -93,206 +101,251 @@ def usable(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     return some.where(F.size("v") == most["d"]), most["d"]
 
 
+def distinct(some: DataFrame, every: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Index rows (vec_id, v, asked: answered for all queries of its vector) and queries (query_id, rep: the row asked for it)."""
+    d = [F.xxhash64("v"), F.xxhash64(F.lit(1), F.reverse("v"))]
+    some = written(some.select("vec_id", "v", d[0].alias("d1"), d[1].alias("d2")).dropDuplicates(["vec_id", "d1", "d2"]), "vectors")
+    narrow = some.select("vec_id", "d1", "d2")
+    asks = F.col("vec_id") % every == 0
+    groups = narrow.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.max(asks.cast("int")).alias("asks"))
+    w = Window.partitionBy("d1", "d2").orderBy("vec_id")
+    ranked = some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)  # cut before the shuffle too
+    rows = ranked.join(groups, ["d1", "d2"]).select("vec_id", "v", ((F.col("_n") == 1) & (F.col("asks") == 1)).alias("asked"))
+    queries = narrow.where(asks).join(groups, ["d1", "d2"]).select(F.col("vec_id").alias("query_id"), "rep")
+    return written(rows, "hilbert-rows"), queries
+
+
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def blocks_of(some: DataFrame, dim: int, curves: int, block: int) -> DataFrame:
-    """curve, part, sub, ids, m (vectors as doubles), centre, radius: rows of each curve in its order, cut into blocks."""
-    bits = CELL_BITS
-    d = min(DIMS, dim)
-    names = [f"p{c}_{i}" for c in range(curves) for i in range(d)]
+class Grid:
+    """The curves' keys of vectors, within the bounds of all projections."""
+
+    def __init__(self, dim: int, curves: int, low: np.ndarray, high: np.ndarray):
+        self.axes = [directions(dim, c) for c in range(curves)]
+        self.low, self.width, self.d = low, np.maximum(high - low, 1e-300), min(DIMS, dim)
+
+    def keys(self, v: np.ndarray, curve: int) -> np.ndarray:
+        q, shift = self.axes[curve]
+        at = slice(curve * self.d, (curve + 1) * self.d)
+        # half of the grid holds the range, the shift moves it within the other half
+        cell = ((v @ q - self.low[at]) / self.width[at] + shift) / 2 * (1 << CELL_BITS)
+        return hilbert_keys(np.clip(cell, 0, (1 << CELL_BITS) - 1).astype(np.int64), CELL_BITS)
+
+
+def grid_of(rows: DataFrame, dim: int, curves: int) -> Grid:
+    n = curves * min(DIMS, dim)
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = np.full(len(names), np.inf), np.full(len(names), -np.inf)
+        low, high = np.full(n, np.inf), np.full(n, -np.inf)
         q = np.hstack([directions(dim, c)[0] for c in range(curves)])
         for b in batches:
             if b.num_rows:
                 p = _vectors(b.column(1), dim) @ q
                 low, high = np.minimum(low, p.min(0)), np.maximum(high, p.max(0))
-        k = np.arange(len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(low), pa.array(high)], names=["k", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(low), pa.array(high)], names=["k", "low", "high"])
 
-    got = some.mapInArrow(bounds, "k long, low double, high double").groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
-    low, high = np.zeros(len(names)), np.ones(len(names))
-    for r in got:  # curves * dims numbers
+    got = rows.select("vec_id", "v").mapInArrow(bounds, "k long, low double, high double").groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    low, high = np.zeros(n), np.ones(n)
+    for r in got.collect():  # curves * dims numbers
         low[r["k"]], high[r["k"]] = r["low"], r["high"]
-    width = np.maximum(high - low, 1e-300)
+    return Grid(dim, curves, low, high)
+
+
+def fitted(rows: DataFrame, grid: Grid, dim: int, curves: int, k: int, block: int, probes: int, aim: float) -> tuple[int, int]:
+    """(curves, reach) whose windows find aim of the probes' true neighbours with the fewest rows visited."""
+    n = rows.count()
+    chosen = rows.where("asked").orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).select("vec_id", "v").collect()  # probes rows
+    if n <= 4 * block or not chosen:
+        return 1, n
+    pids, pv = np.array([r["vec_id"] for r in chosen]), np.array([r["v"] for r in chosen])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, score = np.empty((len(pids), 0), np.int64), np.empty((len(pids), 0))
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                if not part.num_rows:
+                    continue
+                x = part.column(0).to_numpy()
+                s = pv @ _vectors(part.column(1), dim).T
+                s[pids[:, None] == x[None, :]] = -np.inf
+                ids = np.hstack([ids, np.broadcast_to(x, s.shape)])
+                score = np.hstack([score, s])
+                o = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                ids, score = np.take_along_axis(ids, o, 1), np.take_along_axis(score, o, 1)
+        p = np.repeat(np.arange(len(pids)), ids.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(ids.ravel()), pa.array(score.ravel())], names=["p", "vec_id", "score"])
+
+    w = Window.partitionBy("p").orderBy(F.desc("score"), "vec_id")
+    true = rows.select("vec_id", "v").mapInArrow(nearest, "p long, vec_id long, score double").where("score > double('-Infinity')")
+    true = true.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select("p", "vec_id").collect()  # probes * k rows
+    wanted = sorted({r["vec_id"] for r in true})
+    at = {r["vec_id"]: r["v"] for r in rows.where(F.col("vec_id").isin(wanted)).groupBy("vec_id").agg(F.first("v").alias("v")).collect()}
+    places = {i: j for j, i in enumerate(wanted)}
+    v = np.vstack([np.array([at[i] for i in wanted]).reshape(-1, dim), pv])
+    keys = [np.unique(grid.keys(v, c)) for c in range(curves)]
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(len(x) + 1, np.int64) for x in keys]
+        for b in batches:
+            if b.num_rows:
+                x = _vectors(b.column(1), dim)
+                for c, t in enumerate(keys):
+                    counts[c] += np.bincount(np.searchsorted(t, grid.keys(x, c), side="right"), minlength=len(t) + 1)
+        c = np.repeat(np.arange(curves), [len(x) for x in counts])
+        i = np.concatenate([np.arange(len(x)) for x in counts])
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(i), pa.array(np.concatenate(counts))], names=["c", "i", "n"])
+
+    ranks = [np.zeros(len(x) + 1, np.int64) for x in keys]
+    for r in rows.select("vec_id", "v").mapInArrow(below, "c long, i long, n long").groupBy("c", "i").agg(F.sum("n").alias("n")).collect():
+        ranks[r["c"]][r["i"]] = r["n"]  # a number for each probe and neighbour, and curve
+    pairs = np.array([(places[r["vec_id"]], len(wanted) + r["p"]) for r in true]).reshape(-1, 2)
+    far = []
+    for c in range(curves):
+        place = np.cumsum(ranks[c])[np.searchsorted(keys[c], grid.keys(v, c))]
+        far.append(np.abs(place[pairs[:, 0]] - place[pairs[:, 1]]))
+    best = (n, 1, n)
+    for c in range(1, curves + 1):
+        d = np.sort(np.min(far[:c], axis=0))
+        reach = int(d[min(len(d) - 1, int(np.ceil(aim * len(d))) - 1)]) if len(d) else n
+        reach = (reach // block + 1) * block
+        best = min(best, (c * (2 * reach + block), c, reach))
+    log.warning("%d curves, reach %d of %d rows: %.2f of the rows visited, %.3f of %d probes' neighbours in reach", best[1], best[2], n, min(1, best[0] / n), float((np.min(far[: best[1]], axis=0) <= best[2]).mean()) if len(pairs) else 1.0, len(pids))
+    return best[1], best[2]
+
+
+def blocks_of(rows: DataFrame, grid: Grid, dim: int, curves: int, block: int, single: bool) -> DataFrame:
+    """curve, first (its place on the curve), ids, m, asked ids, their vectors: rows of each curve in its order, cut into blocks."""
+    kind = np.dtype(np.float32 if single else np.float64)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             v = _vectors(b.column(1), dim)
+            raw = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
             for c in range(curves):
-                q, shift = directions(dim, c)
-                at = slice(c * d, (c + 1) * d)
-                # half of the grid holds the range, the shift moves it within the other half
-                cell = ((v @ q - low[at]) / width[at] + shift) / 2 * (1 << bits)
-                key = hilbert_keys(np.clip(cell, 0, (1 << bits) - 1).astype(np.int64), bits)
-                cols = [pa.array(np.full(len(v), c, dtype=np.int32)), pa.array(key), b.column(0), b.column(1)]
-                yield pa.RecordBatch.from_arrays(cols, names=["curve", "key", "vec_id", "v"])
+                cols = [pa.array(np.full(len(v), c, dtype=np.int32)), pa.array(grid.keys(v, c)), b.column(0), raw, b.column(2)]
+                yield pa.RecordBatch.from_arrays(cols, names=["curve", "key", "vec_id", "v", "asked"])
 
-    rows = some.mapInArrow(keyed, "curve int, key long, vec_id long, v array<double>")
-    rows = rows.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+    keyed_rows = rows.mapInArrow(keyed, "curve int, key long, vec_id long, v binary, asked boolean")
+    keyed_rows = keyed_rows.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, sub, held, n, curve = TaskContext.get().partitionId(), 0, [], 0, None
+        part, at, held, n, curve = TaskContext.get().partitionId(), 0, [], 0, None
 
         def flush() -> pa.RecordBatch:
-            nonlocal sub, n
-            ids, m = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            centre = m.mean(0)
-            radius = float(np.sqrt(((m - centre) ** 2).sum(1).max()))
-            cols = [[curve], [part], [sub], [ids.tolist()], [m.tobytes()], [centre.tolist()], [radius]]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.float64()]
-            sub, n = sub + 1, 0
+            nonlocal at, n
+            ids = np.concatenate([h[0] for h in held])
+            m = [x for h in held for x in h[1]]
+            q = np.flatnonzero(np.concatenate([h[2] for h in held]))
+            row = [[curve], [part], [at], [n], [ids.tobytes()], [b"".join(m)], [ids[q].tobytes()], [b"".join(m[j] for j in q)]]
+            at, n = at + n, 0
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["curve", "part", "sub", "ids", "m", "centre", "radius"])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["curve", "part", "at", "n", "ids", "m", "qids", "qm"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            cs, ids, v = b.column(0).to_numpy(), b.column(2).to_numpy(), _vectors(b.column(3), dim)
-            at = 0
-            while at < len(cs):
-                if n and cs[at] != curve:
-                    yield flush()
-                curve = int(cs[at])
-                end = min(at + block - n, int(np.searchsorted(cs, curve, side="right")))
-                held.append((ids[at:end], v[at:end]))
-                n, at = n + end - at, end
+            cs, ids, v, asked = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3).to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(cs):
+                if curve is not None and cs[i] != curve:
+                    if n:
+                        yield flush()
+                    at = 0
+                curve = int(cs[i])
+                end = min(i + block - n, int(np.searchsorted(cs, curve, side="right")))
+                held.append((ids[i:end], v.slice(i, end - i).to_pylist(), asked[i:end]))
+                n, i = n + end - i, end
                 if n >= block:
                     yield flush()
         if n:
             yield flush()
 
-    schema = "curve int, part int, sub int, ids array<long>, m binary, centre array<double>, radius double"
-    made = written(rows.select("curve", "key", "vec_id", "v").mapInArrow(cut, schema), "hilbert-blocks")
-    # numbers in order along each curve; the window holds three short columns of each block
-    order = Window.partitionBy("curve").orderBy("part", "sub")
-    numbers = made.select("curve", "part", "sub").withColumn("number", F.row_number().over(order) - 1)
-    return written(made.join(numbers, ["curve", "part", "sub"]), "hilbert-numbered").drop("part", "sub")
+    schema = "curve int, part int, at long, n long, ids binary, m binary, qids binary, qm binary"
+    made = written(keyed_rows.select("curve", "vec_id", "v", "asked").mapInArrow(cut, schema), "hilbert-blocks")
+    parts = made.groupBy("curve", "part").agg(F.sum("n").alias("rows"))
+    order = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("curve", "part", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("before"))  # a row for each partition and curve
+    return made.join(F.broadcast(parts), ["curve", "part"]).withColumn("first", F.col("before") + F.col("at")).drop("part", "at", "before")
 
 
-def _best(ids: np.ndarray, m: np.ndarray, q: np.ndarray, qid: int, approx: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best rows of a block for q that reach floor."""
-    approx = np.where(ids == qid, -np.inf, approx)
+def _best(ids: np.ndarray, m: np.ndarray, q: np.ndarray, approx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best rows for q."""
     if len(approx) > k:
-        floor = max(floor, np.partition(approx, len(approx) - k)[len(approx) - k])
-    slack = 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else 0.0
-    at = np.flatnonzero((approx >= floor - slack) & (approx > -np.inf))
+        floor = np.partition(approx, len(approx) - k)[len(approx) - k]
+        at = np.flatnonzero(approx >= floor - 1e-9 * (1 + abs(floor)))
+    else:
+        at = np.arange(len(approx))
     exact = (m[at] * q).sum(1)
     o = np.lexsort((ids[at], -exact))[:k]
     return ids[at][o], exact[o]
 
 
-def scanner(dim: int, k: int):
-    """mapInArrow function over (ids, m, queries: list of (query_id, v, floor))."""
+def scanner(dim: int, k: int, single: bool):
+    """mapInArrow function over (blocks: list of (ids, m), packs: list of lists of (qids, qm))."""
+    kind = np.dtype(np.float32 if single else np.float64)
+
+    def matrix(parts: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(parts), dtype=kind).reshape(-1, dim).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids = b.column(0)[r].values.to_numpy()
-                m = np.frombuffer(b.column(1)[r].as_py(), dtype=np.float64).reshape(-1, dim)
-                packed = b.column(2)[r].values
-                qs = packed.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                qids, floors = packed.field("query_id").to_numpy(), packed.field("floor").to_numpy()
-                approx = qs @ m.T
-                out: list[list] = [[], [], []]
-                for j in range(len(qids)):
-                    i, s = _best(ids, m, qs[j], qids[j], approx[j], floors[j], k)
-                    out[0].append(np.full(len(i), qids[j]))
-                    out[1].append(i)
-                    out[2].append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+                held, asked = b.column(0)[r].values, b.column(1)[r].values
+                ids, m = np.frombuffer(b"".join(held.field("ids").to_pylist()), np.int64), matrix(held.field("m").to_pylist())
+                for pack in asked:
+                    qids, qs = np.frombuffer(b"".join(pack.values.field("qids").to_pylist()), np.int64), matrix(pack.values.field("qm").to_pylist())
+                    step = max(1, SCORES // max(1, len(ids)))
+                    for at in range(0, len(qids), step):
+                        approx = qs[at : at + step] @ m.T
+                        got = [_best(ids, m, qs[at + j], approx[j], k) for j in range(len(approx))]
+                        cols = [np.repeat(qids[at : at + step], [len(i) for i, _ in got]), np.concatenate([i for i, _ in got]), np.concatenate([s for _, s in got])]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "vec_id", "score"])
 
     return run
 
 
-def merged(found: DataFrame, k: int) -> DataFrame:
-    """The k best distinct candidates of each query, ranked."""
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def packed(queries: DataFrame, *by: str) -> DataFrame:
-    """Queries (query_id, v, floor) that go to the same place, in lists of about PACK at most."""
-    one = F.struct("query_id", "v", "floor")
-    return queries.groupBy(*by).agg(F.collect_list(one).alias("queries"))
-
-
 def search(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = K,
-    curves: int = CURVES, block: int = BLOCK, exact: bool = True,
+    curves: int = CURVES, block: int = BLOCK, exact: bool = False, probes: int = PROBES, aim: float = AIM, windows: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: for ids divisible by every. exact=False stops after the windows."""
+    """query_id, rank, vec_id, score: for ids divisible by every. windows gives (curves, reach in rows) instead of fitting them."""
     spark = rows.sparkSession
     ship(spark)
     some, dim = usable(rows, key, vector)
     result = "query_id long, rank int, vec_id long, score double"
     if not dim:
         return spark.createDataFrame([], result)
-    some = written(some, "vectors")
-    blocks = blocks_of(some, dim, curves, block)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                ids = b.column(2)[r].values.to_numpy()
-                m = np.frombuffer(b.column(3)[r].as_py(), dtype=np.float64).reshape(-1, dim)
-                at = np.flatnonzero(ids % every == 0)
-                curve, number = np.full(len(at), b.column(0)[r].as_py(), np.int32), np.full(len(at), b.column(1)[r].as_py(), np.int32)
-                v = pa.ListArray.from_arrays(np.arange(0, (len(at) + 1) * dim, dim, dtype=np.int32), m[at].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(curve), pa.array(number), pa.array(ids[at]), v], names=["curve", "number", "query_id", "v"])
-
-    q = blocks.select("curve", "number", "ids", "m").mapInArrow(asked, "curve int, number int, query_id long, v array<double>")
-    q = written(q, "hilbert-queries")
-    beside = q.withColumn("number", F.explode(F.array(*[F.col("number") + F.lit(d) for d in (-1, 0, 1)])))
-    # a block's own queries and its neighbours' are at most three blocks of rows
-    packs = packed(beside.withColumn("floor", F.lit(float("-inf"))), "curve", "number")
-    scan = scanner(dim, k)
-    out = "query_id long, vec_id long, score double"
-    first = blocks.join(packs, ["curve", "number"]).select("ids", "m", "queries").mapInArrow(scan, out)
-    first = written(merged(first, k), "hilbert-windows")
+    single = rows.schema[vector].dataType.elementType.typeName() == "float"  # such numbers are the same in 32 bits
+    index, queries = distinct(some, every, k)
+    grid = grid_of(index, dim, curves)
     if exact:
-        floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        own = q.where("curve = 0").join(floors, "query_id", "left")
-        own = own.withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        more = rest(blocks.where("curve = 0"), own, dim).mapInArrow(scan, out)
-        first = merged(first.select("query_id", "vec_id", "score").unionByName(more), k)
-    return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def rest(blocks: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
-    """ids, m, queries: each block with the queries that it may still hold something for, outside their windows."""
-    chunk = F.floor(F.col("number") / CHUNK).cast("int")
-    limits = blocks.select(chunk.alias("chunk"), F.struct("number", "centre", "radius").alias("b"))
-    limits = limits.groupBy("chunk").agg(F.collect_list("b").alias("limits"))
-    count = blocks.agg(F.max("number")).first()[0] or 0
-    packs = max(1, -(-queries.count() // PACK))
-    to = queries.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int"))
-    to = to.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(count // CHUNK))))
-    one = F.struct("query_id", "v", "floor", "number")
-    to = to.groupBy("chunk", "pack").agg(F.collect_list(one).alias("queries"))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                lim, qs = b.column(1)[r].values, b.column(2)[r].values
-                c = lim.field("centre").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                v = qs.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                numbers, own = lim.field("number").to_numpy(), qs.field("number").to_numpy()
-                radius, floor = lim.field("radius").to_numpy(), qs.field("floor").to_numpy()
-                limit = v @ c.T + np.sqrt((v * v).sum(1))[:, None] * radius[None, :]
-                limit += 1e-9 * (1 + np.abs(limit))
-                i, j = np.nonzero((limit >= floor[:, None]) & (np.abs(own[:, None] - numbers[None, :]) > 1))
-                pack = np.full(len(i), b.column(0)[r].as_py(), np.int32)
-                vec = pa.ListArray.from_arrays(np.arange(0, (len(i) + 1) * dim, dim, dtype=np.int32), v[i].ravel())
-                cols = [pa.array(numbers[j]), pa.array(pack), pa.array(qs.field("query_id").to_numpy()[i]), vec, pa.array(floor[i])]
-                yield pa.RecordBatch.from_arrays(cols, names=["number", "pack", "query_id", "v", "floor"])
-
-    schema = "number int, pack int, query_id long, v array<double>, floor double"
-    sent = to.join(limits, "chunk").select("pack", "limits", "queries").mapInArrow(kept, schema)
-    return blocks.select("number", "ids", "m").join(packed(sent, "number", "pack"), "number").select("ids", "m", "queries")
+        curves, reach = 1, None
+    else:
+        curves, reach = windows or fitted(index, grid, dim, curves, k, block, probes, aim)
+    blocks = blocks_of(index, grid, dim, curves, block, single)
+    whole = blocks.agg(F.max(F.col("first") + F.col("n"))).first()[0] or 0
+    reach = whole if reach is None else min(reach, whole)
+    span = block * max(1, min(SPAN_BLOCKS, reach // (2 * block)))
+    # spans of rows by the place of a block's first row; a block may reach into the next span
+    here = F.floor(F.col("first") / span).cast("int")
+    held = blocks.groupBy("curve", here.alias("span")).agg(F.collect_list(F.struct("ids", "m")).alias("blocks"))
+    packs = blocks.where(F.length("qids") > 0).groupBy("curve", here.alias("source")).agg(F.collect_list(F.struct("qids", "qm")).alias("pack"))
+    low = F.greatest(F.lit(0), F.floor((F.col("source") * span - reach - block) / span))
+    high = F.least(F.lit(whole // span), F.floor(((F.col("source") + 1) * span + block + reach) / span))
+    sent = packs.select("curve", "source", "pack", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("span"))
+    sent = sent.groupBy("curve", "span", F.floor(F.col("source") / SOURCES)).agg(F.collect_list("pack").alias("packs"))
+    found = held.join(sent, ["curve", "span"]).select("blocks", "packs").mapInArrow(scanner(dim, k + 1, single), "rep long, vec_id long, score double")
+    best = _top(found, "rep", k + 1)
+    got = queries.join(best.drop("rank"), "rep").where("query_id <> vec_id")
+    return _top(got, "query_id", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _top(found: DataFrame, query: str, k: int) -> DataFrame:
+    """The k best distinct candidates of each query, ranked."""
+    best = found.groupBy(query, "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy(query).orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

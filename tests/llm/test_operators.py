@@ -253,7 +253,7 @@ def test_hilbert_search_equals_brute_force(spark, medium):
     e = spark.read.parquet(f"{medium}/embeddings.parquet")
     want = brute([(r["vec_id"], r["embedding"]) for r in e.collect()], 20, 20)
     got = defaultdict(list)
-    for r in hilbert.search(e, block=64).orderBy("query_id", "rank").collect():
+    for r in hilbert.search(e, block=64, exact=True).orderBy("query_id", "rank").collect():
         assert r["rank"] == len(got[r["query_id"]]) + 1
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert got.keys() == want.keys()
@@ -263,10 +263,33 @@ def test_hilbert_search_equals_brute_force(spark, medium):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], rel=1e-12)
 
 
+def test_hilbert_windows_find_nine_tenths(spark, monkeypatch):
+    """Clustered vectors, a third of them copies of one: windows over a part of the rows; the fitted reach is noted."""
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((120, 24))
+    m = centres[r.integers(0, 120, 9000)] + 0.3 * r.standard_normal((9000, 24))
+    m[3000:6000] = m[2999]
+    rows = [(k, v) for k, v in enumerate(m.tolist())]
+    fits = []
+    fitted = hilbert.fitted
+    monkeypatch.setattr(hilbert, "fitted", lambda *a: fits.append(fitted(*a)) or fits[-1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = defaultdict(list)
+    for x in hilbert.search(df, block=32).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    want = brute(rows, 20, 20)
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 20 * len(want)
+    curves, reach = fits[0]
+    assert curves > 1 and curves * (2 * reach + 32) < 5000  # of some 6,000 rows apart from copies
+    assert [i for i, _ in got[4000]] == [i for i, _ in want[4000]]  # a copy among thousands has the smallest ids
+
+
 def test_hilbert_search_on_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 1.0]), (3, None), (40, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(*r, "e", 1, 2) for r in rows], "vec_id long, embedding array<double>, key string, first int, n int")
     got = [tuple(r) for r in hilbert.search(df).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
     assert hilbert.search(df.limit(0)).count() == 0
