@@ -9,7 +9,22 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What is replaced, in this order, and the pseudonym's prefix.
+# Surnames, words that begin like names but are none, and what is replaced, in this order, with the pseudonym's prefix.
+SURNAME = "김이박최정강조윤장임한오서신권황안송류전홍고문양손배백허유남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용예경봉사부"
+NOT_NAME = (
+    "(?:공동|참여|담당|외부|소속|해당|전체|신규|기존|주관|위탁|객원|학생|대학원|연구|기술|"
+    "실험|분석|품질|개발|기획|영업|관리|생산|이번|이전|정부|조사|장비|고객|전문|선임|수석|"
+    "책임|주임|박사|교수|대표|원장|소장|사업|부서|본부|센터|각|모든|현|전|신임|"
+    "인턴|파견|계약|정규|비정규|우리|귀사|당사|협력|연구소|고객사|협력사|회사|"
+    "연구실|연구팀|연구진|회의|의견|검토|요청|확인|승인|면담|미팅|문의|보고|지시|결재|"
+    "석사|이름|성명|서명|주소|"
+    "구분|현황|이미지|소속|직위|직급|명칭|대상|비고|기관|"
+    "오전|오후|제목|변경|제조일|채용|모집|공고|국토|경제|공학|기계|유사한|어머)(?![가-힣])"
+    "|(?:선임|책임|수석|주임|박사후|석사후|전임|사외|사내|지도|선생|사장|부사장|이사|"
+    "한국|서울|부산|대구|광주|대전|울산|세종|경기|강원|충남|충북|전남|전북|경남|경북|제주|"
+    "국립|고등|첨단|미래|산업|연구|기반|고객|사용자|회원|공동|박사|전무|상무|담당|참여|학생|선배|후배|"
+    "차장|원장|부장|소장|강사|팀장|실장|과장|대리|사원|기사|부모|인건비|전공|선택|부재|기술)"
+)
 RULES = [
     (r"\d{6}\s*[-–]\s*[1-4]\d{6}", "주민번호"),
     (r"01[016789][-. ]?\d{3,4}[-. ]?\d{4}", "연락처"),
@@ -20,30 +35,58 @@ RULES = [
     (r"(?<=확인자[:： ])\s*([가-힣]{2,4})", "확인자"),
     (r"(?<=성명[:： ])\s*([가-힣]{2,4})", "성명"),
 ]
+#: Names before and after titles; their look-around keeps them out of SQL, so the shapes and sums over RULES leave them aside.
+NAME_RULES = [
+    (
+        r"(?<![가-힣])((?!" + NOT_NAME + r")[" + SURNAME + r"][가-힣]{1,3}(?<![의을를은는와과로에]))\s?"
+        r"(?=(?:책임|선임|수석|주임)?(?:연구원|변리사|변호사|박사|교수|대표|이사|팀장|실장|과장|부장|"
+        r"원장|소장|센터장|님|씨)(?![가-힣]{2}))",
+        "인명",
+    ),
+    (
+        r"(?:연구원|변리사|변호사|박사|교수|대표|팀장|실장)\s((?!" + NOT_NAME + r")"
+        r"(?:(?:(?:남궁|황보|제갈|선우|독고|사공|서문)[가-힣]{1,2}|[" + SURNAME + r"][가-힣]{2})"
+        r"(?<![의을를은는와과로에이가])(?=(?:은|는|이|가|을|를|과|와|의|에게|께서|께|도|만)?(?![가-힣_]))"
+        r"|[" + SURNAME + r"][가-힣](?![가-힣_])))",
+        "인명",
+    ),
+]
+ALL_RULES = RULES + NAME_RULES
 PASSES = 5
 #: Characters on either side of a match that its shape takes in.
 CONTEXT = 14
 
 
 def pseudonym(value: str, prefix: str, salt: str) -> str:
-    return f"{prefix}_{hashlib.sha256(f'{salt}:{value}'.encode()).hexdigest()[:4].upper()}"
+    return f"{prefix}_{hashlib.sha256(f'{salt}::{value.strip()}'.encode()).hexdigest()[:4].upper()}"
+
 
+def left(text: str) -> dict[str, int]:
+    """Matches by prefix that are left, pseudonyms aside."""
+    out: dict[str, int] = {}
+    for pattern, prefix in ALL_RULES:
+        n = sum(1 for m in re.finditer(pattern, text) if not re.match(r"_[0-9A-F]{4}\b", text[m.end() : m.end() + 8]))
+        if n:
+            out[prefix] = out.get(prefix, 0) + n
+    return out
 
-def _replace(text: str, salt: str) -> str:
-    for _ in range(PASSES):
-        before = text
-        for pattern, prefix in RULES:
+
+def replaced(text: str, salt: str) -> tuple[str, int, int]:
+    """The text with pseudonyms, how many were put, and passes: at least one, more while something is left, at most PASSES."""
+    put = 0
+    for done in range(1, PASSES + 1):
+        for pattern, prefix in ALL_RULES:
 
             def one(m: re.Match, prefix: str = prefix) -> str:
+                nonlocal put
+                put += 1
                 value = m[1] if m.re.groups else m[0]
-                if value == prefix or re.match(r"_[0-9A-F]{4}", m.string[m.end() :]):
-                    return m[0]
-                return m[0].replace(value, pseudonym(value, prefix, salt), 1)
+                return m[0].replace(value, pseudonym(value, prefix, salt))
 
             text = re.sub(pattern, one, text)
-        if text == before:
+        if not left(text):
             break
-    return text
+    return text, put, done
 
 
 def deidentified(text: Column, salt: str) -> Column:
@@ -51,7 +94,19 @@ def deidentified(text: Column, salt: str) -> Column:
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _replace(t, salt), na_action="ignore")
+        return s.map(lambda t: replaced(t, salt)[0], na_action="ignore")
+
+    return run(text)
+
+
+def deidentification(text: Column, salt: str) -> Column:
+    """Struct of text, put (pseudonyms), passes and left (what still matches a rule); null for a null text."""
+
+    @F.pandas_udf("struct<text:string,put:int,passes:int,left:int>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None, None) if t is None else (*replaced(t, salt), 0) for t in s]
+        rows = [r if r[0] is None else (*r[:3], sum(left(r[0]).values())) for r in rows]
+        return pd.DataFrame(rows, columns=["text", "put", "passes", "left"])
 
     return run(text)
 
