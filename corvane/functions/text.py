@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,11 +136,22 @@ def strip_tags(html: Column) -> Column:
     return squeeze(t)
 
 
-def ocr_date(text: Column) -> Column:
-    """A date whose digits were misread (O for 0, l, I or | for 1) as yyyy-mm-dd, else the text as it is."""
-    pattern = r"([0-9OolI|]{4})\s*(?:-|\.|/|년)\s*([0-9OolI|]{1,2})\s*(?:-|\.|/|월)\s*([0-9OolI|]{1,2})\s*일?"
-    part = lambda k: F.translate(F.regexp_extract(text, pattern, k), "OolI|", "00111")
-    return F.when(text.rlike(pattern), F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))).otherwise(text)
+OCR_DATE = r"([0-9OolI|]{4})\s*[-./년]\s*([0-9OolI|]{1,2})\s*[-./월]\s*([0-9OolI|]{1,2})"
+
+
+def ocr_dates(text: Column) -> Column:
+    """The text with each date whose digits were misread (O for 0, l, I or | for 1) as yyyy-mm-dd, in its place.
+
+    A replacement is computed from each match, which Spark SQL cannot do, so this runs in Arrow batches.
+    """
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        digits = str.maketrans("OolI|", "00111")
+        fix = lambda m: "{:04d}-{:02d}-{:02d}".format(*(int(g.translate(digits)) for g in m.groups()))
+        return s.map(lambda t: re.sub(OCR_DATE, fix, t), na_action="ignore")
+
+    return run(text)
 
 
 def final_consonant(word: Column) -> Column:
@@ -146,6 +160,11 @@ def final_consonant(word: Column) -> Column:
     return code.between(0xAC00, 0xD7A3) & ((code - 0xAC00) % 28 > 0)
 
 
+def particle(word: Column, after_consonant: str, after_vowel: str) -> Column:
+    """The word with the particle that fits its last syllable."""
+    return F.concat(word, F.when(final_consonant(word), after_consonant).otherwise(after_vowel))
+
+
 def overlap(claim: Column, evidence: Column) -> Column:
     """Share of the claim's tokens that the evidence has."""
     a, b = match_tokens(claim), match_tokens(evidence)

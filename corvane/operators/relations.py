@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
+
 
 def without_held_out(rows: DataFrame, passages: DataFrame, text: Column, passage: Column) -> DataFrame:
     """rows whose text, white space aside, is no passage's. Digests are compared, so that the join's keys are short."""
@@ -42,23 +44,20 @@ def sharing_pairs(rows: DataFrame, key: str, words: Column, least: int) -> DataF
     return full.select("a", "b", F.size(F.array_intersect("wa", "wb")).cast("bigint").alias("shared")).where(F.col("shared") >= least)
 
 
-def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest reachable node) by rounds of minima over neighbours and jumps along roots.
 
-    Each round is checkpointed to the shared folder where one is set.
+    Each round is written to the shared folder, so that lineage does not grow and lost executors cost one round at most.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    keep = bool(edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()) and checkpoint
-    cut = (lambda df: df.checkpoint()) if keep else (lambda df: df.cache())
-    state = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    state = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
     while True:
         near = both.join(state.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        nxt = state.join(near, state["node"] == near["a"]).select("node", F.least("root", "r").alias("root"))
+        nxt = state.join(near, state["node"] == near["a"]).select("node", F.least("root", "r").alias("root"), F.col("root").alias("old"))
         jump = nxt.select(F.col("node").alias("j"), F.col("root").alias("jr"))
-        nxt = cut(nxt.join(jump, nxt["root"] == jump["j"]).select("node", F.least("root", "jr").alias("root")))
-        same = nxt.join(state.select("node", F.col("root").alias("old")), "node").where("root <> old").isEmpty()
-        state = nxt
-        if same:
+        nxt = written(nxt.join(jump, nxt["root"] == jump["j"]).select("node", F.least("root", "jr").alias("root"), "old"), "roots")
+        state = nxt.select("node", "root")
+        if nxt.where("root <> old").isEmpty():
             return state
 
 

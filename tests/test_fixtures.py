@@ -66,8 +66,8 @@ def test_polarity(spark):
 
 
 def test_dates_particles_and_masks(spark):
-    for s, want in (("2O24-O3-3O", "2024-03-30"), ("2024년 11월 1일", "2024-11-01"), ("no date", "no date")):
-        assert value(spark, T.ocr_date(F.col("s")), s=s) == want
+    for s, want in (("2O24-O3-3O", "2024-03-30"), ("2024년 11월 1일", "2024-11-01일"), ("am 2024.1.2, bm 2O23/3/4", "am 2024-01-02, bm 2023-03-04"), ("no date", "no date")):
+        assert value(spark, T.ocr_dates(F.col("s")), s=s) == want
     for s, want in (("서울대학교병원", True), ("연세대학교", False), ("abc", False)):
         assert value(spark, T.final_consonant(F.col("s")), s=s) is want
     assert value(spark, T.shape_mask(F.col("s")), s="김a1-Z9") == "KAD-AD"
