@@ -121,4 +121,4 @@ def cover_findings(text: Column) -> Column:
 
 
 def projects(text: Column) -> Column:
-    return F.size(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"과제\s*명\s*[:：]\s*([^\n]+)"), 1), F.trim)))
+    return F.size(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"과제\s*명\s*[:：]\s*([^\n]+)"), 1), lambda x: F.trim(x))))

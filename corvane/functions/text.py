@@ -52,7 +52,7 @@ def letter_ratio(text: Column) -> Column:
 
 def pieces(text: Column, pattern: str) -> Column:
     """Trimmed, non-empty parts between matches."""
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def claims(text: Column) -> Column:
@@ -125,7 +125,9 @@ def hangul_share(text: Column) -> Column:
 
 
 def usable_abstract(text: Column, least: int = 400, most: int = 1500, hangul: float = 0.5) -> Column:
-    return F.length(text).between(least, most) & (hangul_share(text) >= hangul)
+    """An abstract of such a length, at least half Hangul, white space aside."""
+    body = F.regexp_replace(text, SPACES, "")
+    return F.length(text).between(least, most) & (count_of(body, "가-힣") >= hangul * F.length(body))
 
 
 def strip_tags(html: Column) -> Column:

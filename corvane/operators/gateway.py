@@ -119,3 +119,13 @@ def decide(scored: DataFrame, unsupported: DataFrame | None, key: str, theta: fl
     f = F.col(findings) if findings else F.array().cast("array<string>")
     r = F.col(regenerations) if regenerations else F.lit(0)
     return scored.withColumn("decision", S.decision(F.col("vcr"), F.lit(theta), F.col("sentences") == 0, f, r, most))
+
+
+def citation_accuracy(rows: DataFrame, key: str, cited_dois: str, source_dois: str, registry: DataFrame, doi: str = "doi") -> DataFrame:
+    """One row: cited, in_sources, resolvable, accurate (both), accuracy (null if nothing is cited); cases do not count among the sources."""
+    sources = F.transform(F.coalesce(source_dois, F.array().cast("array<string>")), F.lower)
+    each = rows.select(key, sources.alias("_s"), F.explode(cited_dois).alias("_d"))
+    known = registry.select(F.col(doi).alias("_d")).distinct().withColumn("_known", F.lit(True))
+    each = each.join(known, "_d", "left").select(F.array_contains("_s", F.lower("_d")).alias("s"), F.col("_known").isNotNull().alias("r"))
+    g = each.agg(F.count("*").alias("cited"), F.count_if("s").alias("in_sources"), F.count_if("r").alias("resolvable"), F.count_if(F.col("s") & F.col("r")).alias("accurate"))
+    return g.withColumn("accuracy", F.when(F.col("cited") > 0, F.col("accurate") / F.col("cited")))

@@ -223,7 +223,7 @@ def inference_routes(spark, sf):
     return d.select("doc_id", r.alias("r")).select("doc_id", "r.target", "r.rule", F.round("r.cost", 9).alias("cost"))
 
 
-@query(f"SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (length(t) BETWEEN 400 AND 1500 AND h / greatest(1, h + l) >= 0.5)::BIGINT AS usable FROM (SELECT lang, t, {HL} FROM (SELECT lang, CASE WHEN doc_id % 3 = 0 THEN repeat('가나다 ', 150) ELSE '' END || coalesce(text, '') AS t FROM documents)) GROUP BY lang")
+@query(rf"SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (length(t) BETWEEN 400 AND 1500 AND h >= 0.5 * length(regexp_replace(t, '[ \t\n\r\f\x0B]+', '', 'g')))::BIGINT AS usable FROM (SELECT lang, t, {HL} FROM (SELECT lang, CASE WHEN doc_id % 3 = 0 THEN repeat('가나다 ', 150) ELSE '' END || coalesce(text, '') AS t FROM documents)) GROUP BY lang")
 def usable_abstracts(spark, sf):
     text = F.concat(F.when(F.col("doc_id") % 3 == 0, "가나다 " * 150).otherwise(""), F.coalesce("text", F.lit("")))
     d = table(spark, sf, "documents").select("lang", text.alias("text"))

@@ -37,3 +37,28 @@ def test_gate_of_many_copies(spark):
     got = C.gate(spark.range(200_000, numPartitions=9).select(F.col("id").alias("doc_id"), text.alias("text")))
     kinds = {r["reason"]: r["count"] for r in got.groupBy("reason").count().collect()}
     assert kinds[None] == 5001 and sum(kinds.values()) == 200_000
+
+
+def test_triples_contradict_in_the_shared_number_alone(spark):
+    from corvane.operators import claim_evidence as E
+    from corvane.plans.generation import claim_rows
+
+    s = E.sentences(claim_rows(spark, "/root/testdata/sf0.001").where("doc < 40"), "doc").withColumn("id", F.xxhash64("doc", "place", "sentence"))
+    rows = E.triples(s.where("claim"), s.where("evidence")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r["doc"], r["claim"]), {})[r["label"]] = r
+    assert len(by) > 40 and all(set(x) == {"entail", "neutral", "contradict"} for x in by.values())
+    for x in by.values():
+        said, right, wrong, far = x["entail"]["said"].split(), x["entail"]["text"].split(), x["contradict"]["text"].split(), x["neutral"]["text"].split()
+        number = said[said.index("mg") - 1]
+        assert number in right and number not in wrong and right.index(number) >= 0
+        assert [w for w in right if w != number] == [b for a, b in zip(right, wrong) if a != number]  # nothing else changed
+        assert far[far.index("mg") - 1] != number and len(set(said) & set(far)) >= 2
+
+
+def test_pieces_keep_their_digits(spark):
+    from corvane.functions import text as T
+
+    got = spark.createDataFrame([("0 ab 1\n 1 cd 2! 2 e 3. 12 x",)], "t string").select(T.claims(F.col("t"))).first()
+    assert got[0] == ["0 ab 1", "1 cd 2!", "2 e 3.", "12 x"]
