@@ -1,11 +1,15 @@
 r"""Chat formatting in budgeted windows, with DataFrame functions alone.
 
 A turn's place is the prefix sum of its conversation's turn tokens (words, and
-a few for the marks around them). Spans are turn-aligned and follow from the
-prefix sums in closed form: span number = start // budget, and a turn that
-crosses a multiple of the budget is a span of its own. So a span holds at most
-``budget`` new tokens, unless a single turn alone has more, and no turn has to
-wait for the choice made for the one before.
+a few for the marks around them). A window's ``budget`` pays for all it holds:
+the system turn, at most ``history`` tokens of repeated turns, and new ones. So
+new turns have step = budget - history - system tokens to themselves, and spans
+are turn-aligned and follow from the prefix sums in closed form: span number =
+start // step, and a turn that crosses a multiple of the step is a span of its
+own. No window exceeds the budget but for one turn that is longer than the step
+alone, or a system turn of more than half of what history leaves; then the step
+is as long as the system turn, so that a conversation, whose crossing turns have
+windows of their own, at most triples. No turn waits for the choice made before it.
 
 The formatted window repeats the conversation's system turn, if it opens with
 one, and then the last turns of the span before, as far as they fit into
@@ -51,8 +55,8 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + MARKS
 
 
-def spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """conv_id, role, text, n (tokens), start (prefix sum before it), first (of its conversation), span, alone."""
+def spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """conv_id, role, text, n (tokens), start (prefix sum before it), number (in its conversation), span, alone."""
     t = turns.select(
         "conv_id",
         "turn",
@@ -75,7 +79,11 @@ def spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     t = t.join(blocks, t["conv_id"].eqNullSafe(blocks["_conv"]) & (t["block"] == blocks["_block"]))
     start = F.col("before") + F.col("in_block") - F.col("n")
     t = t.withColumn("start", start).withColumn("number", F.col("rows_before") + F.col("row"))
-    low, high = F.floor(F.col("start") / budget), F.floor((F.col("start") + F.col("n") - 1) / budget)
+    opening = t.where((F.col("number") == 1) & (F.col("role") == "system")).select(F.col("conv_id").alias("_opens"), F.col("n").alias("system_n"))
+    t = t.join(opening, t["conv_id"].eqNullSafe(opening["_opens"]), "left")  # one row at most for each conversation
+    held = F.coalesce("system_n", F.lit(0))
+    step = F.greatest(budget - history - held, held, F.lit(1))
+    low, high = F.floor(F.col("start") / step), F.floor((F.col("start") + F.col("n") - 1) / step)
     t = t.withColumn("span", low).withColumn("alone", low != high)
     return t.select("conv_id", "role", "text", "n", "start", "number", "span", "alone")
 
@@ -85,7 +93,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
     loss_mask: places (from 1, in code points of formatted) and lengths of the new assistant texts.
     """
-    s = spans(turns, budget)
+    s = spans(turns, budget, history)
     # a turn that crosses a multiple comes after all turns that end below it
     w = s.groupBy("conv_id", "span", "alone").agg(
         F.sort_array(F.collect_list(F.struct("number", "start", "n", "role", "text"))).alias("new"),
@@ -190,10 +198,12 @@ counted AS (
 placed AS (
   SELECT *, sum(n) OVER o - n AS start, row_number() OVER o AS number FROM counted
   WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+stepped AS (
+  SELECT *, greatest(512 - 128 - coalesce(max(n) FILTER (number = 1 AND role = 'system') OVER c, 0), coalesce(max(n) FILTER (number = 1 AND role = 'system') OVER c, 0)) AS step FROM placed WINDOW c AS (PARTITION BY conv_id)),
 spanned AS (
-  SELECT *, start // 512 AS span, (start // 512) <> ((start + n - 1) // 512) AS alone,
+  SELECT *, start // step AS span, (start // step) <> ((start + n - 1) // step) AS alone,
          number = 1 AND role = 'system' AS opening
-  FROM placed),
+  FROM stepped),
 w AS (
   SELECT conv_id, span, alone, min(start) AS begin, min(number) AS first_turn, sum(chars) AS chars,
          row_number() OVER (PARTITION BY conv_id ORDER BY span, alone) AS k

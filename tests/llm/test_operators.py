@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import bpe as bpe_module
 from corvane.llm import chat, hilbert, mixing, packing, pii_semicrf, rans, secret_crf, simhash, tiff, toxicity
@@ -333,6 +334,62 @@ def test_toxicity_without_labels_of_both_classes(spark, odd):
         assert {r["score"] for r in got} == {0.0}
 
 
+def test_kneser_ney_equals_counts_by_hand(spark):
+    """Shared continuation counts, class counts, ratios and descriptions against the formulas written plainly."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcé")) for _ in range(r.integers(1, 7)))
+    labelled = [(k, " ".join(word() for _ in range(r.integers(1, 9))), int(k % 3 == 0)) for k in range(60)]
+    other = [(k, " ".join(word() for _ in range(5)), None) for k in range(60, 100)] + [(100, None, None), (101, "", None)]
+    d, alphabet = toxicity.DISCOUNT, toxicity.ALPHABET
+    grams5 = {g for _, t, _ in labelled + other for w in toxicity.words_of(t or "") for g in toxicity.word_grams(w)}
+    cont, low = {}, grams5
+    for n in (4, 3, 2):
+        c = Counter(g[1:] for g in low)
+        cont[n], low = c, set(c)
+    p = {}
+    for n in (2, 3, 4):
+        total, kinds = Counter(), Counter()
+        for g, m in cont[n].items():
+            total[g[:-1]] += m
+            kinds[g[:-1]] += 1
+        p[n] = {g: (max(m - d, 0) + d * kinds[g[:-1]] * (p[n - 1].get(g[1:], 1 / alphabet) if n > 2 else 1 / alphabet)) / total[g[:-1]] for g, m in cont[n].items()}
+    rows = spark.createDataFrame(labelled + other, "doc_id long, text string, toxic int")
+    grams = toxicity.corpus_grams(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(5))
+    shared = toxicity.shared_model(grams)
+    assert {x["g4"]: x["p"] for x in shared.collect()} == pytest.approx(p[4])
+
+    counts = [Counter(g for _, t, y in labelled if y == c for w in toxicity.words_of(t) for g in toxicity.word_grams(w)) for c in (0, 1)]
+    sums, kinds = [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for g, m in counts[c].items():
+            sums[c][g[:-1]] += m
+            kinds[c][g[:-1]] += 1
+
+    def ordinary(g):
+        back = p[4].get(g[1:], 1 / alphabet)
+        x = g[:-1]
+        return (max(counts[0][g] - d, 0) + d * kinds[0][x] * back) / sums[0][x] if sums[0][x] else back
+
+    def ratio(g):
+        x = g[:-1]
+        if not sums[1][x]:
+            return 0.0  # the toxic model is the ordinary one
+        return np.log((max(counts[1][g] - d, 0) + d * kinds[1][x] * ordinary(g)) / sums[1][x] / ordinary(g))
+
+    per = toxicity.class_grams(spark.createDataFrame(labelled, "doc_id long, text string, toxic int"))
+    by_gram, by_context = toxicity.ratios(per, shared)
+    g, c = {x["g"]: x["llr"] for x in by_gram.collect()}, {x["ctx"]: x["llr"] for x in by_context.collect()}
+    assert g == pytest.approx({x: ratio(x) for x in counts[1]})
+    scorer = toxicity.Scorer(g, c)
+    for _, t, _ in labelled + other[:40]:
+        words = toxicity.words_of(t)
+        r_ = [sum(ratio(x) for x in toxicity.word_grams(w)) for w in words]
+        each = sorted(x / np.sqrt(len(w) + 1) for x, w in zip(r_, words))
+        want = (sum(r_) / sum(len(w) + 1 for w in words), each[-1], sum(each[-3:]) / 3)
+        assert scorer.describe(t) == pytest.approx(want)
+    assert scorer.describe("") == (0.0, 0.0, 0.0)
+
+
 # op5
 
 
@@ -368,6 +425,26 @@ def test_chat_windows_keep_the_budget_and_the_system_turn(spark, medium):
             assert w["formatted"].startswith("<|system|>\n")
 
 
+def test_chat_windows_pay_for_all_they_hold(spark):
+    """System turn, history and new turns within one budget; a very long system turn at most triples a conversation."""
+    words = lambda k: "w " * k
+    rows = [(1, 0, "system", words(60))] + [(1, k, "user" if k % 2 else "assistant", words(5 + 7 * k % 40)) for k in range(1, 200)]
+    rows += [(2, 0, "system", words(3000))] + [(2, k, "assistant", words(20)) for k in range(1, 600)]
+    rows += [(3, k, "user", words(900 if k == 5 else 10)) for k in range(30)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    size = defaultdict(int)
+    for w in chat.windows(turns).collect():
+        parts = [p for p in w["formatted"].split(chat.END) if p]
+        n = [len(p.split("\n", 1)[1].split()) + chat.MARKS for p in parts]
+        size[w["conv_id"]] += sum(n)
+        new = n[w["repeated"] :]
+        if w["conv_id"] == 1 or w["conv_id"] == 3 and max(new) < 900:
+            assert sum(n) <= chat.BUDGET
+        assert sum(n[1 if w["conv_id"] < 3 else 0 : w["repeated"]]) <= chat.HISTORY
+    total = 3004 + 599 * 24
+    assert size[2] <= 3 * total
+
+
 def test_chat_plan_has_no_python(spark, small):
     turns = chat.with_probe(spark.read.parquet(f"{small}/conversations.parquet"))
     plan = chat.read_back(chat.windows(turns))._jdf.queryExecution().executedPlan().toString()
