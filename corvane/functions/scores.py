@@ -149,12 +149,11 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def mcnemar(b: Column, c: Column) -> Column:
     """Two-sided exact p of discordant counts, at most 1."""
     n, k = b + c, F.least(b, c)
-    log_choose = lambda i: F.aggregate(
-        F.when(i > 0, F.sequence(F.lit(1).cast("bigint"), i)), F.lit(0.0), lambda acc, j: acc + F.ln((n - j + 1) / j)
-    )
-    tail = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), k), F.lit(0.0), lambda acc, i: acc + F.exp(F.coalesce(log_choose(i), F.lit(0.0)) - n * F.ln(F.lit(2.0)))
-    )
+    # one pass: the logarithm of a binomial coefficient follows from the one before
+    start = F.struct(F.lit(0.0).alias("log"), F.exp(-n * F.ln(F.lit(2.0))).alias("sum"))
+    step = lambda acc, i: (new := acc["log"] + F.ln((n - i + 1) / i), F.struct(new.alias("log"), (acc["sum"] + F.exp(new - n * F.ln(F.lit(2.0)))).alias("sum")))[1]
+    more = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(more, start, step, lambda acc: acc["sum"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import letter_ratio, squeeze
 from ..storage import written
+from .order import placed
 
 # Marks of people, of health, of safety events, of diseases near clinical verbs, of other subjects; bounded quantities.
 SUBJECT = (
@@ -147,22 +148,6 @@ def held_out(rows: DataFrame, key: str, buckets: int = 20) -> DataFrame:
     return rows.withColumn("held", hash_number(F.col(key)) % buckets == 0)
 
 
-def placed(rows: DataFrame, order: str | list[str] | list[Column], name: str = "placed") -> DataFrame:
-    """rows with _place, from 0, in the order, which must tell rows apart if reruns are to agree.
-
-    Rows are range-partitioned and sorted once and written with their partition and place there; the counts of the
-    partitions before (a row for each partition, so small at any size) give each row's place in the whole.
-    """
-    order = [order] if isinstance(order, str) else order
-    at = F.monotonically_increasing_id()  # partition in the high bits, place there in the low 33
-    r = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    r = written(r.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND((1 << 33) - 1)), name)
-    counts = r.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = r.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
-    return r.select(*rows.columns, (F.col("_at") + F.col("_before")).alias("_place"))
-
-
 def every_nth(rows: DataFrame, order: str | list[str], n: int) -> DataFrame:
     """Each n-th row in the order, from the first on; no task sees all rows."""
     return placed(rows, order, "every-nth").where(F.col("_place") % n == 0).drop("_place")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scores import mcnemar, wilson
+from .order import running
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -27,9 +28,8 @@ def by_score(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """auc: share of (positive, negative) pairs in order, ties for one half; NaN without one of the classes."""
-    c = by_score(rows, score, label)
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = c.withColumn("twice", F.col("pos") * (2 * below + F.col("neg")))
+    c = running(by_score(rows, score, label), "score", "neg")
+    t = c.withColumn("twice", F.col("pos") * (2 * F.col("up_neg") + F.col("neg")))
     t = t.agg(F.sum("twice").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (2.0 * F.col("p") * F.col("n"))).otherwise(F.lit(float("nan"))).alias("auc"))
 
@@ -51,11 +51,9 @@ def prf(rows: DataFrame, predicted: Column, actual: Column, *by: str) -> DataFra
 
 def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
     """The threshold (predict 1 at it and above) of the best accuracy, the least one of equals."""
-    c = by_score(rows, score, label)
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(0))
-    right = F.sum("pos").over(all_) - F.coalesce(F.sum("pos").over(up), F.lit(0)) + F.coalesce(F.sum("neg").over(up), F.lit(0))
-    t = c.select("score", (right / F.sum(F.col("pos") + F.col("neg")).over(all_)).alias("accuracy"))
+    c = running(by_score(rows, score, label), "score", "pos", "neg")
+    right = F.col("all_pos") - F.col("up_pos") + F.col("up_neg")
+    t = c.select("score", (right / (F.col("all_pos") + F.col("all_neg"))).alias("accuracy"))
     return t.orderBy(F.desc("accuracy"), "score").limit(1).select(F.col("score").alias("threshold"), "accuracy")
 
 
@@ -98,7 +96,7 @@ def weighted_confusion(rows: DataFrame, stratum: str, population: str, predicted
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return t.select(
         _safe(tp + tn, tp + fp + fn + tn).alias("accuracy"), _safe(tp, tp + fp).alias("precision"), _safe(tp, tp + fn).alias("recall"),
-        _safe(F.col("right"), F.col("n")).alias("raw_accuracy"),
+        _safe(fn, tp + fn).alias("false_reject"), _safe(fp, fp + tn).alias("false_accept"), _safe(F.col("right"), F.col("n")).alias("raw_accuracy"),
     )
 
 
@@ -212,3 +210,100 @@ def grid_search(rows: DataFrame, encoder: str, llm: str, label: str, lows: list[
         "lo", "hi", "calls", _safe(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), _safe(F.col("tn"), F.col("tn") + F.col("fp")).alias("pass_rate")
     )
     return t.where(F.col("pass_rate") >= least_pass).orderBy(F.desc("f1"), "calls", "lo", "hi").limit(1)
+
+
+def balanced_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """The threshold of the best mean of both classes' shares, the least one of equals: for judges whose scores have scales of their own."""
+    c = running(by_score(rows, score, label), "score", "pos", "neg")
+    mean = ((F.col("all_pos") - F.col("up_pos")) / F.col("all_pos") + F.col("up_neg") / F.col("all_neg")) / 2
+    t = c.where("all_pos > 0 and all_neg > 0").select("score", mean.alias("balanced"))
+    return t.orderBy(F.desc("balanced"), "score").limit(1).select(F.col("score").alias("threshold"), "balanced")
+
+
+def backend_scores(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """One row: auc, best threshold and its accuracy, accuracy at one half, mean scores of both classes."""
+    y = F.col(label) == 1
+    right = (F.col(score) >= 0.5) == y
+    m = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).agg(
+        F.avg(right.cast("double")).alias("accuracy_at_half"), F.avg(F.when(y, F.col(score))).alias("mean_positive"), F.avg(F.when(~y, F.col(score))).alias("mean_negative")
+    )
+    best = best_threshold(rows, score, label)
+    return auc(rows, score, label).join(F.broadcast(best)).join(F.broadcast(m))  # one row each
+
+
+def best_of_sweep(table: DataFrame, least_pass: float = 0.8) -> DataFrame:
+    """kind (usable: enough rows pass; raw), threshold, f1, pass_rate: the best f1, the least threshold of equals."""
+    best = lambda df, kind: df.orderBy(F.desc("f1"), "threshold").limit(1).select(F.lit(kind).alias("kind"), "threshold", "f1", "pass_rate")
+    return best(table.where(F.col("pass_rate") >= least_pass), "usable").unionByName(best(table, "raw"))
+
+
+def label_scores(rows: DataFrame, gold: str, predicted: str, weights: DataFrame | None = None, weight: str = "weight") -> DataFrame:
+    """label, gold_n, predicted_n, recall, precision; a gold of 'ok' stands for the prediction.
+
+    weights (label, weight) adds the share of each prediction in the corpus times its precision, to be summed to an accuracy there.
+    """
+    g = F.when(F.col(gold) == "ok", F.col(predicted)).otherwise(F.col(gold))
+    cells = rows.select(g.alias("g"), F.col(predicted).alias("p")).groupBy("g", "p").agg(F.count("*").alias("c"))
+    a = cells.groupBy(F.col("g").alias("label")).agg(F.sum("c").alias("gold_n"), F.sum(F.when(F.col("g") == F.col("p"), F.col("c")).otherwise(0)).alias("right"))
+    b = cells.groupBy(F.col("p").alias("label")).agg(F.sum("c").alias("predicted_n"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    t = a.join(b, "label", "full").select("label", zero("gold_n").alias("gold_n"), zero("predicted_n").alias("predicted_n"), zero("right").alias("right"))
+    t = t.select("label", "gold_n", "predicted_n", _safe(F.col("right"), F.col("gold_n")).alias("recall"), _safe(F.col("right"), F.col("predicted_n")).alias("precision"))
+    if weights is None:
+        return t
+    total = weights.agg(F.sum(weight).alias("_t"))
+    w = weights.join(F.broadcast(total)).select("label", (F.col(weight) / F.col("_t")).alias("share"))  # one row
+    return t.join(w, "label", "left").withColumn("weighted", F.coalesce("share", F.lit(0.0)) * F.col("precision")).drop("share")
+
+
+def drift(now: DataFrame, before: DataFrame, bucket: str, share: str = "share") -> DataFrame:
+    """One row: the widest gap between two distributions over buckets, and whether it is small, moderate or large."""
+    a, b = now.select(bucket, F.col(share).alias("_a")), before.select(bucket, F.col(share).alias("_b"))
+    gap = F.max(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))))
+    t = a.join(b, bucket, "full").agg(gap.alias("gap"))
+    return t.withColumn("verdict", F.when(F.col("gap") < 0.02, "small").when(F.col("gap") < 0.05, "moderate").otherwise("large"))
+
+
+def reward_check(rows: DataFrame, score: str, label: str, components: list[str], least_spread: float = 0.02) -> DataFrame:
+    """One row: auc, spread of the score, whether it suffices, and components that never change."""
+    spread = rows.agg(F.stddev_pop(score).alias("spread"), *[(F.min(c) == F.max(c)).alias(c) for c in components])
+    constant = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in components]))
+    s = spread.select("spread", (F.col("spread") >= least_spread).alias("varies"), F.array_join(constant, ",").alias("constant"))
+    return auc(rows, score, label).join(F.broadcast(s))  # one row each
+
+
+def self_check(pairs: DataFrame, chosen: str, rejected: str, kind: str, theta: float) -> DataFrame:
+    """By kind and in all (kind null): n, wins of the chosen answer, mean margin, shares of chosen that pass and of rejected that are caught."""
+    c, r = F.col(chosen), F.col(rejected)
+    as_share = lambda x: F.avg(x.cast("double"))
+    return pairs.rollup(kind).agg(F.count("*").alias("n"), as_share(c > r).alias("win_rate"), F.avg(c - r).alias("margin"), as_share(c >= theta).alias("passed"), as_share(r < theta).alias("caught"))
+
+
+def mean_of_rates(rows: DataFrame, attribute: str, kind: str, caught: Column) -> DataFrame:
+    """attribute, rate: the mean over an attribute's kinds of the share caught of each."""
+    per = rows.groupBy(attribute, kind).agg(F.avg(caught.cast("double")).alias("r"))
+    return per.groupBy(attribute).agg(F.avg("r").alias("rate"))
+
+
+def reviewed(sheets: DataFrame, key: str, reviewer: str, verdict: str) -> DataFrame:
+    """key, gold, agreed of items that reviewers judged: gold is what all of them said, unless that is x."""
+    g = sheets.groupBy(key).agg(F.min(verdict).alias("_a"), F.max(verdict).alias("_b"), F.count_distinct(reviewer).alias("reviewers"))
+    agreed = F.col("_a") == F.col("_b")
+    return g.select(key, "reviewers", agreed.alias("agreed"), F.when(agreed & (F.col("_a") != "x"), F.col("_a")).alias("gold"))
+
+
+def held_out_cascade(rows: DataFrame, document: str, encoder: str, llm: str, label: str, lows: list[float], highs: list[float]) -> DataFrame:
+    """fold, lo, hi, n, right: the grid point that one half of the documents chooses, on the other half; halves by places of sorted documents."""
+    from .order import placed
+
+    folds = placed(rows.select(document).distinct(), document, "folds").select(document, (F.col("_place") % 2).alias("fold"))
+    r = rows.join(folds, document)
+    out = None
+    for k in (0, 1):
+        best = grid_search(r.where(F.col("fold") != k), encoder, llm, label, lows, highs).select("lo", "hi")
+        t = r.where(F.col("fold") == k).join(F.broadcast(best))  # one row
+        asked = (F.col(encoder) >= F.col("lo")) & (F.col(encoder) < F.col("hi"))
+        s = F.when(asked, F.col(llm)).otherwise(F.col(encoder))
+        one = t.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.count_if((s >= 0.5) == (F.col(label) == 1)).alias("right")).select(F.lit(k).alias("fold"), "lo", "hi", "n", "right")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.scores import cascade, wilson
-from .curation import placed
+from .order import placed
 from .relations import components
 
 #: Thresholds of the cascade, of questions, of key-value lines, and how much easy entailment may outnumber the rest.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import written
+from .order import placed
 
 
 def without_held_out(rows: DataFrame, passages: DataFrame, text: Column, passage: Column) -> DataFrame:
@@ -16,9 +17,13 @@ def without_held_out(rows: DataFrame, passages: DataFrame, text: Column, passage
 
 
 def aligned_pairs(rows: DataFrame, group: str, good: Column, key: str) -> DataFrame:
-    """group, chosen, rejected: the i-th good row of a group with its i-th other row, in the order of key."""
-    w = Window.partitionBy(group, "_good").orderBy(key)
-    r = rows.withColumn("_good", good).withColumn("_i", F.row_number().over(w))
+    """group, chosen, rejected: the i-th good row of a group with its i-th other row, in the order of key.
+
+    A row's number in its group is its place in the whole less that of the group's first, so a hot group is no hot task.
+    """
+    r = placed(rows.select(group, good.alias("_good"), key).where(F.col(group).isNotNull() & F.col("_good").isNotNull()), [group, "_good", key], "aligned")
+    first = r.groupBy(group, "_good").agg(F.min("_place").alias("_first"))
+    r = r.join(first, [group, "_good"]).select(group, "_good", key, (F.col("_place") - F.col("_first")).alias("_i"))
     a = r.where("_good").select(group, "_i", F.col(key).alias("chosen"))
     b = r.where("not _good").select(group, "_i", F.col(key).alias("rejected"))
     return a.join(b, [group, "_i"]).select(group, "chosen", "rejected")

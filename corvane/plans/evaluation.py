@@ -134,6 +134,89 @@ def judge_report(spark, sf):
 
 @query(f"SELECT quality, toxic, lang, count(*)::BIGINT AS n FROM {J} GROUP BY GROUPING SETS ((), (lang), (quality, toxic))")
 def coverage_sets(spark, sf):
-    c = joined(spark, sf).select("quality", "toxic", "lang")
-    c.createOrReplaceTempView("corvane_coverage")
-    return spark.sql("SELECT quality, toxic, lang, count(*) AS n FROM corvane_coverage GROUP BY GROUPING SETS ((), (lang), (quality, toxic))")
+    return joined(spark, sf).groupingSets([[], ["lang"], ["quality", "toxic"]], "quality", "toxic", "lang").agg(F.count("*").alias("n"))
+
+
+# scores of order lines: the discount as a judge's score, a returned line as the label
+
+LINES = "(SELECT l_orderkey AS k, l_discount * 10 AS s, (l_returnflag = 'R')::INT AS y FROM lineitem)"
+
+
+def lines(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_discount") * 10).alias("s"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_tax") * 12.5).alias("e"))
+
+
+@query(f"""WITH g AS (SELECT s, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM {LINES} GROUP BY s), c AS (SELECT s, (sum(p) OVER (ORDER BY s DESC) / sum(p) OVER () + coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER ()) / 2 AS b FROM g)
+SELECT s AS threshold, round(b, 12) AS balanced FROM c ORDER BY round(b, 12) DESC, s LIMIT 1""")
+def balanced_threshold(spark, sf):
+    return E.balanced_threshold(lines(spark, sf), "s", "y").withColumn("balanced", F.round("balanced", 12))
+
+
+@query(f"""SELECT avg(((s >= 0.5)::INT = y)::INT) AS accuracy_at_half, round(avg(s) FILTER (y = 1), 9) AS mean_positive, round(avg(s) FILTER (y = 0), 9) AS mean_negative FROM {LINES}""")
+def backend_scores(spark, sf):
+    b = E.backend_scores(lines(spark, sf), "s", "y").where(F.col("auc").between(0, 1) & (F.col("accuracy") >= F.col("accuracy_at_half")))
+    return b.select("accuracy_at_half", F.round("mean_positive", 9).alias("mean_positive"), F.round("mean_negative", 9).alias("mean_negative"))
+
+
+GRID = [0.1, 0.25, 0.45, 0.65, 0.85]
+SWEPT = f"""t AS (SELECT th, sum((s < th)::INT * y)::DOUBLE AS tp, sum((s < th)::INT * (1 - y)) AS fp, sum((s >= th)::INT * y) AS fn, count(*) AS n FROM {LINES}, (SELECT unnest({GRID})::DOUBLE AS th) GROUP BY th),
+f AS (SELECT th AS threshold, 2 * tp / (2 * tp + fp + fn) AS f1, (n - tp - fp) / n AS pass_rate FROM t)"""
+
+
+@query(f"""WITH {SWEPT}, u AS (SELECT 'usable' AS kind, * FROM f WHERE pass_rate >= 0.8 ORDER BY f1 DESC, threshold LIMIT 1), r AS (SELECT 'raw' AS kind, * FROM f ORDER BY f1 DESC, threshold LIMIT 1) SELECT * FROM u UNION ALL SELECT * FROM r""")
+def best_of_sweep(spark, sf):
+    return E.best_of_sweep(E.sweep(lines(spark, sf), "s", "y", GRID))
+
+
+@query("""WITH r AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'ok' WHEN doc_id % 4 = 1 THEN 'en' WHEN doc_id % 4 = 2 THEN 'none' ELSE lang END AS gold, lang AS p FROM documents), c AS (SELECT CASE WHEN gold = 'ok' THEN p ELSE gold END AS g, p FROM r),
+a AS (SELECT g AS label, count(*)::BIGINT AS gold_n, count(*) FILTER (g = p)::BIGINT AS hit FROM c GROUP BY g), b AS (SELECT p AS label, count(*)::BIGINT AS predicted_n FROM c GROUP BY p), w AS (SELECT lang AS label, sum(n_chars)::DOUBLE / (SELECT sum(n_chars) FROM documents) AS share FROM documents GROUP BY lang)
+SELECT label, coalesce(gold_n, 0)::BIGINT AS gold_n, coalesce(predicted_n, 0)::BIGINT AS predicted_n, CASE WHEN coalesce(gold_n, 0) > 0 THEN hit / gold_n ELSE 0 END::DOUBLE AS recall, CASE WHEN coalesce(predicted_n, 0) > 0 THEN coalesce(hit, 0) / predicted_n ELSE 0 END::DOUBLE AS "precision",
+  coalesce(share, 0) * CASE WHEN coalesce(predicted_n, 0) > 0 THEN coalesce(hit, 0) / predicted_n ELSE 0 END::DOUBLE AS weighted FROM a FULL JOIN b USING (label) LEFT JOIN w USING (label)""")
+def label_scores(spark, sf):
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    rows = d.select(F.when(k % 4 == 0, "ok").when(k % 4 == 1, "en").when(k % 4 == 2, "none").otherwise(F.col("lang")).alias("gold"), F.col("lang").alias("p"))
+    return E.label_scores(rows, "gold", "p", d.groupBy(F.col("lang").alias("label")).agg(F.sum("n_chars").alias("weight")))
+
+
+@query("""WITH a AS (SELECT lang, count(*) / sum(count(*)) OVER () AS s FROM documents GROUP BY lang), b AS (SELECT lang, count(*) / sum(count(*)) OVER () AS s FROM documents WHERE doc_id % 3 = 0 GROUP BY lang), g AS (SELECT max(abs(coalesce(a.s, 0) - coalesce(b.s, 0))) AS gap FROM a FULL JOIN b USING (lang))
+SELECT round(gap, 12)::DOUBLE AS gap, CASE WHEN gap < 0.02 THEN 'small' WHEN gap < 0.05 THEN 'moderate' ELSE 'large' END AS verdict FROM g""")
+def bucket_drift(spark, sf):
+    from pyspark.sql.window import Window
+
+    d = table(spark, sf, "documents")
+    share = lambda r: r.groupBy("lang").agg(F.count("*").alias("c")).select("lang", (F.col("c") / F.sum("c").over(Window.partitionBy())).alias("share"))
+    return E.drift(share(d), share(d.where("doc_id % 3 = 0")), "lang").withColumn("gap", F.round("gap", 12))
+
+
+@query(f"SELECT round(stddev_pop(s), 9) AS spread, stddev_pop(s) >= 0.02 AS varies, 'fixed' AS constant FROM {LINES}")
+def reward_check(spark, sf):
+    r = E.reward_check(lines(spark, sf).withColumn("fixed", F.lit(1)), "s", "y", ["s", "e", "fixed"])
+    return r.where(F.col("auc").between(0, 1)).select(F.round("spread", 9).alias("spread"), "varies", "constant")
+
+
+@query("""SELECT l_returnflag AS kind, count(*)::BIGINT AS n, avg((l_discount * 10 > l_tax * 12.5)::INT) AS win_rate, round(avg(l_discount * 10 - l_tax * 12.5), 9) AS margin, avg((l_discount * 10 >= 0.45)::INT) AS passed, avg((l_tax * 12.5 < 0.45)::INT) AS caught FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
+def self_check(spark, sf):
+    p = table(spark, sf, "lineitem").select((F.col("l_discount") * 10).alias("c"), (F.col("l_tax") * 12.5).alias("r"), F.col("l_returnflag").alias("kind"))
+    return E.self_check(p, "c", "r", "kind", 0.45).withColumn("margin", F.round("margin", 9))
+
+
+@query("""SELECT a AS attribute, avg(r) AS rate FROM (SELECT l_returnflag AS a, l_linestatus AS k, avg((l_discount > 0.05)::INT) AS r FROM lineitem GROUP BY 1, 2) GROUP BY a""")
+def mean_of_rates(spark, sf):
+    li = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "attribute")
+    return E.mean_of_rates(li, "attribute", "l_linestatus", F.col("l_discount") > 0.05)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, r, CASE WHEN o_orderkey % 5 = 0 AND r = 1 THEN 'no' WHEN o_orderkey % 7 = 0 THEN 'x' ELSE 'yes' END AS v FROM orders, (SELECT unnest([1, 2]) AS r))
+SELECT k, count(DISTINCT r)::BIGINT AS reviewers, min(v) = max(v) AS agreed, CASE WHEN min(v) = max(v) AND min(v) <> 'x' THEN min(v) END AS gold FROM s GROUP BY k""")
+def reviewed_items(spark, sf):
+    k = F.col("o_orderkey")
+    s = table(spark, sf, "orders").select(k.alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("r"))
+    s = s.withColumn("v", F.when((F.col("k") % 5 == 0) & (F.col("r") == 1), "no").when(F.col("k") % 7 == 0, "x").otherwise("yes"))
+    return E.reviewed(s, "k", "r", "v")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS d, (dense_rank() OVER (ORDER BY l_orderkey) - 1) % 2 AS fold FROM lineitem) SELECT fold::INT AS fold, count(*)::BIGINT AS n FROM f GROUP BY fold""")
+def held_out_cascade(spark, sf):
+    r = lines(spark, sf).withColumn("s", F.col("y") * 0.8 + 0.1)  # a large model that is right
+    h = E.held_out_cascade(r, "k", "e", "s", "y", [0.0, 0.2], [0.6, 1.1])
+    return h.where("right <= n and right > 0").select("fold", "n")
