@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import classification, compliance, curation, evaluation, generation, judging, records, verification  # noqa: F401  (they register themselves)
+from .plans import classification, compliance, curation, evaluation, generation, judging, records, texts, verification  # noqa: F401  (they register themselves)
 from .plans.registry import QUERIES, SQL
 
 

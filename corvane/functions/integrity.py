@@ -106,6 +106,22 @@ def consistent(text: Column) -> Column:
     return F.when(clash, 0.0).otherwise(1.0)
 
 
+def accurate(text: Column) -> Column:
+    """Share of numbers with a unit among numbers, dates and section numbers aside; 1 without any."""
+    body = F.regexp_replace(F.regexp_replace(text, DATE, " "), r"(?m)^\s*\d\.\s", " ")
+    unit = F.regexp_count(body, F.lit("(?i)" + RECORD_UNIT))
+    bare = F.regexp_count(F.regexp_replace(body, "(?i)" + RECORD_UNIT, " "), F.lit(r"(?<![0-9A-Za-z_.-])[0-9]+(?:\.[0-9]+)?(?![0-9A-Za-z_.%-])"))
+    return F.when(unit + bare == 0, 1.0).otherwise(unit / (unit + bare))
+
+
+def record_report(text: Column, evidence: Column) -> Column:
+    """Struct of the six scores, their mean (overall) and the attributes below 1 (violated)."""
+    scores = {"Attributable": attributable(text), "Contemporaneous": contemporaneous(text), "Original": F.when(F.coalesce(evidence, F.lit("")) == "", 1.0).otherwise(original(text, evidence)), "Accurate": accurate(text), "Complete": complete(text), "Consistent": consistent(text)}
+    overall = sum(scores.values(), F.lit(0.0)) / len(scores)
+    violated = F.array_compact(F.array(*[F.when(c < 1, k) for k, c in scores.items()]))
+    return F.struct(*[c.alias(k.lower()) for k, c in scores.items()], overall.alias("overall"), violated.alias("violated"))
+
+
 def undocumented_deviations(text: Column) -> Column:
     """Sentences that name a deviation without approval or reason."""
     return F.filter(F.split(text, r"(?<=[.!?。])\s+|\n"), lambda s: s.rlike("(?i)" + DEVIATION) & ~s.rlike("(?i)" + DEVIATION_TOLD))

@@ -129,3 +129,20 @@ def citation_accuracy(rows: DataFrame, key: str, cited_dois: str, source_dois: s
     each = each.join(known, "_d", "left").select(F.array_contains("_s", F.lower("_d")).alias("s"), F.col("_known").isNotNull().alias("r"))
     g = each.agg(F.count("*").alias("cited"), F.count_if("s").alias("in_sources"), F.count_if("r").alias("resolvable"), F.count_if(F.col("s") & F.col("r")).alias("accurate"))
     return g.withColumn("accuracy", F.when(F.col("cited") > 0, F.col("accurate") / F.col("cited")))
+
+
+def feedback(scored: DataFrame, sentences: str = "unsupported", unknown: str = "unknown_dois", cited_: str = "n_cited") -> DataFrame:
+    """scored with feedback: an ordered list of what to mend, or that sources and answer match too little.
+
+    sentences and unknown are arrays of strings; cited_ is the number of citations.
+    """
+    none = F.array().cast("array<string>")
+    told = F.concat(
+        F.transform(F.coalesce(sentences, none), lambda s: F.concat(F.lit("- unsupported sentence: "), s)), F.transform(F.coalesce(unknown, none), lambda d: F.concat(F.lit("- DOI not among the sources: "), d)),
+        F.array_compact(F.array(
+            F.when(F.col(cited_) == 0, "- no citation"), F.when(F.col("source_exist") < 0.6, F.format_string("- too few sources (%.2f)", "source_exist")),
+            F.when(F.col("halluc") > 0.3, F.format_string("- numbers or citations without a source (%.2f)", "halluc")), F.when(F.col("alcoa") < 0.6, F.format_string("- unfinished or without units (%.2f)", "alcoa")),
+        )),
+    )
+    weak = F.array(F.format_string("- sources and answer match little (%.2f)", "source_match"))
+    return scored.withColumn("feedback", F.when(F.size(told) > 0, told).otherwise(weak))

@@ -39,25 +39,83 @@ def allowed() -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+GENESIS = "0" * 64
+#: An entry's fields, in the order of their names, as its hash takes them.
+FIELDS = ("action", "actor", "content", "content_sha256", "meaning", "prev", "reason", "record_id", "seq", "ts")
+
+
+def json_literal(c: Column) -> Column:
+    """A string as JSON writes it, other scripts as they are."""
+    quoted = F.to_json(F.array(c))
+    return F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+
+
+def canonical_json(*columns: str, numbers: tuple[str, ...] = ("seq",)) -> Column:
+    """The columns as one JSON object: keys in the order of their names, a space after each colon and comma."""
+    parts = []
+    for k in sorted(columns):
+        value = F.col(k).cast("string") if k in numbers else json_literal(F.coalesce(F.col(k).cast("string"), F.lit("")))
+        parts += [F.lit(("{" if not parts else ", ") + f'"{k}": '), value]
+    return F.concat(*parts, F.lit("}"))
+
+
 def entry_hash(*columns: str) -> Column:
-    return F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in columns]), 256)
+    return F.sha2(canonical_json(*columns), 256)
 
 
-def chain_findings(entries: DataFrame, genesis: str = "0" * 64) -> DataFrame:
+def chain_findings(entries: DataFrame, genesis: str = GENESIS) -> DataFrame:
     """chain, seq, finding: gaps in seq, links that do not hold, contents and entries that do not match their hashes."""
     w = Window.partitionBy("chain").orderBy("seq")
     e = entries.withColumn("want_seq", F.row_number().over(w) - 1).withColumn("want_prev", F.coalesce(F.lag("hash").over(w), F.lit(genesis)))
+    held = F.when(F.coalesce("content", F.lit("")) == "", F.lit("")).otherwise(F.sha2("content", 256))
     found = F.array_compact(
         F.array(
             F.when(F.col("seq") != F.col("want_seq"), "seq"),
             F.when(F.col("prev") != F.col("want_prev"), "prev"),
-            F.when(F.col("content_sha256") != F.sha2("content", 256), "content"),
-            F.when(F.col("hash") != entry_hash("seq", "ts", "actor", "action", "record_id", "content_sha256", "reason", "meaning", "prev"), "hash"),
+            F.when((F.col("content_sha256") != held) & ~F.col("action").isin("view", "access_denied"), "content"),
+            F.when(F.col("hash") != entry_hash(*FIELDS), "hash"),
         )
     )
     return e.select("chain", "seq", F.explode(found).alias("finding"))
 
 
+def chain_heads(entries: DataFrame) -> DataFrame:
+    """chain, head: the last entry's hash; partial maxima alone."""
+    return entries.groupBy("chain").agg(F.max_by("hash", "seq").alias("head"))
+
+
+def signatures(entries: DataFrame) -> DataFrame:
+    """record_id, seq, actor, meaning of the signatures given to what a record holds now."""
+    now = current_content(entries).select("record_id", F.sha2("content", 256).alias("_now"))
+    signed = entries.where("action = 'sign'").join(now, "record_id").where("content_sha256 = _now")
+    return signed.select("record_id", "seq", "actor", "meaning")
+
+
+def refused(entries: DataFrame) -> DataFrame:
+    """record_id, seq, reasons: entries that may not be appended, for what they lack or where they stand."""
+    missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    acts = ("create", "modify", "delete", "sign", "view", "access_denied")
+    own = F.array_compact(
+        F.array(
+            F.when(~F.col("action").isin(*acts), "action"), F.when(missing("actor"), "actor"), F.when(F.col("action").isin("modify", "delete") & missing("reason"), "reason"),
+            F.when((F.col("action") == "sign") & missing("meaning"), "meaning"),
+        )
+    )
+    t = transitions(entries).select("record_id", "seq", "legal")
+    late = F.when(F.col("action").isin("create", "modify", "sign", "delete") & ~F.col("legal"), F.array(F.lit("order"))).otherwise(F.array().cast("array<string>"))
+    e = entries.join(t, ["record_id", "seq"]).select("record_id", "seq", F.concat(own, late).alias("reasons"))
+    return e.where(F.size("reasons") > 0)
+
+
+def dump_chain(entries: DataFrame, path: str) -> None:
+    """Entries as JSON lines, each chain's together and in order."""
+    entries.repartitionByRange("chain", "seq").sortWithinPartitions("chain", "seq").write.json(path)
+
+
+def load_chain(spark, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def current_content(entries: DataFrame) -> DataFrame:
     """record_id, seq and content of each record's last create or modify, unless deleted later; partial maxima alone."""
     some = entries.where(F.col("action").isin("create", "modify", "delete"))

@@ -101,18 +101,21 @@ def test_auc_kappa_and_quantile_edges(spark):
 
 
 def test_audit_chain(spark):
+    """Entries are hashed as JSON with sorted keys and a space after each colon and comma, content included."""
     import hashlib
+    import json
 
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     rows, prev = [], "0" * 64
-    for k, (action, content) in enumerate([("create", "a"), ("sign", "a"), ("modify", "b"), ("view", "b")]):
-        h = sha("\n".join([str(k), "t", "u", action, "r", sha(content), "", "", prev]))
-        rows.append(["c", k, "t", "u", action, "r", content, sha(content), None, None, prev, h])
+    for k, (action, content) in enumerate([("create", 'a "수율"\n\t\\'), ("sign", "a"), ("modify", "b"), ("view", "")]):
+        e = {"seq": k, "ts": "t", "actor": "u", "action": action, "record_id": "r", "content": content, "content_sha256": sha(content or "b"), "reason": "", "meaning": "", "prev": prev}
+        h = sha(json.dumps(e, ensure_ascii=False, sort_keys=True))
+        rows.append(["c", k, "t", "u", action, "r", content, sha(content or "b"), None, None, prev, h])
         prev = h
     schema = "chain string, seq long, ts string, actor string, action string, record_id string, content string, content_sha256 string, reason string, meaning string, prev string, hash string"
     assert R.chain_findings(spark.createDataFrame(rows, schema)).count() == 0
     rows[0][6] = "tampered"
-    assert [(r["seq"], r["finding"]) for r in R.chain_findings(spark.createDataFrame(rows, schema)).collect()] == [(0, "content")]
+    assert [(r["seq"], r["finding"]) for r in R.chain_findings(spark.createDataFrame(rows, schema)).collect()] == [(0, "content"), (0, "hash")]
     del rows[1]
     assert {r["finding"] for r in R.chain_findings(spark.createDataFrame(rows, schema)).collect()} >= {"seq", "prev"}
     assert R.current_content(spark.createDataFrame(rows, schema)).first()["content"] == "b"
