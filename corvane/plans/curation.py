@@ -253,9 +253,9 @@ def residual_shapes(spark, sf):
 
 @query(r"""WITH w AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[가-힣]{2,}|[A-Za-z]{3,}'), lambda x: lower(x)),
   lambda x: x NOT IN ('the', 'and', 'for', 'with', 'was', 'were', 'this', 'that', 'from'))) AS ws FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, len(list_intersect(x.ws, y.ws))::BIGINT AS shared FROM w x JOIN w y ON x.item_id < y.item_id WHERE len(list_intersect(x.ws, y.ws)) >= 12""")
+SELECT x.item_id AS a, y.item_id AS b, len(list_intersect(x.ws, y.ws))::BIGINT AS shared FROM w x JOIN w y ON x.item_id < y.item_id WHERE len(list_intersect(x.ws, y.ws)) >= 4""")
 def lexical_neighbours(spark, sf):
-    return R.sharing_pairs(table(spark, sf, "benchmark"), "item_id", T.content_words(F.col("text")), 12)
+    return R.sharing_pairs(table(spark, sf, "benchmark"), "item_id", T.content_words(F.col("text")), 4)
 
 
 @query(rf"""WITH RECURSIVE e AS (SELECT DISTINCT doc_id AS a, md5({SQ}) AS h FROM documents),

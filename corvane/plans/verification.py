@@ -91,10 +91,10 @@ def gateway_decisions(spark, sf):
     return li.select("l_orderkey", "l_linenumber", d.alias("decision"))
 
 
-@query(r"""WITH w AS (SELECT unnest(['river', 'light', 'time']) AS w), h AS (SELECT doc_id, n_chars, (SELECT count(*) FROM w WHERE contains(lower(text), w)) AS hits FROM documents)
+@query(r"""WITH w AS (SELECT unnest(['and the', 'here in', 'ation']) AS w), h AS (SELECT doc_id, n_chars, (SELECT count(*) FROM w WHERE contains(lower(text), w)) AS hits FROM documents)
 SELECT doc_id, hits::BIGINT AS hits FROM h WHERE hits > 0 ORDER BY hits DESC, doc_id DESC LIMIT 10""")
 def memory_recall(spark, sf):
-    hits = sum((F.lower("text").contains(w).cast("bigint") for w in ("river", "light", "time")), F.lit(0).cast("bigint"))
+    hits = sum((F.lower("text").contains(w).cast("bigint") for w in ("and the", "here in", "ation")), F.lit(0).cast("bigint"))
     d = table(spark, sf, "documents").select("doc_id", hits.alias("hits")).where("hits > 0")
     return d.orderBy(F.desc("hits"), F.desc("doc_id")).limit(10)
 
