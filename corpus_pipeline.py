@@ -9,6 +9,14 @@ secrets        secrets in the texts are replaced by [SECRET]
 mixing         rows as often as the mix takes them; where a source's fractional repetition ends, a document's first words
 packing        one row per piece, with its place in a sequence of at most 2048 tokens
 
+Defined results: a null or empty text is scored as one without words, is linked
+with other wordless texts (one of them stays), holds no secret, takes no part
+in the mix and so reaches no window; a null source is a source of its own; rows
+of equal texts are one component, whatever their ids; a very long text is read
+whole by each stage and cut into whole windows last; an empty table gives an
+empty one; other columns of documents, also with names that stages use
+themselves, come through all stages but the last.
+
 Stages can't be expressed in SQL (models, fingerprints, tokenizer), so ORACLE_SQL is None.
 """
 
