@@ -25,8 +25,8 @@ from array import array
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes, as Python holds them, of one generation of a worker's table of words, and of line heads.
-TABLE_BYTES = 32 << 20
+#: Bytes, estimated on the safe side, of one generation of a worker's table of words, and of line heads.
+TABLE_BYTES = 96 << 20
 HEAD_BYTES = 8 << 20
 #: Characters after which a text with other spacing is cut where that is exact.
 STRETCH = 50_000
