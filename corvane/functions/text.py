@@ -171,3 +171,11 @@ def overlap(claim: Column, evidence: Column) -> Column:
     """Share of the claim's tokens that the evidence has."""
     a, b = match_tokens(claim), match_tokens(evidence)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+
+
+def human_bytes(n: Column) -> Column:
+    """A size with one decimal and its unit."""
+    out = F.concat(F.format_string("%.1f", n / float(1024**5)), F.lit("PB"))
+    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
+        out = F.when(n < 1024 ** (k + 1), F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(unit))).otherwise(out)
+    return out

@@ -143,3 +143,26 @@ def verify_citations(citations: DataFrame, registry: DataFrame) -> DataFrame:
         .when(F.col("_d").isNotNull() | (F.col("_t") != ""), "hallucinated").otherwise("unverified")
     )
     return got.select("id", status.alias("status"), score.alias("score"))
+
+
+def surname(author: Column) -> Column:
+    """Of "Alam, W.", "W. Alam" or "Alam", in lower case."""
+    return F.lower(F.trim(F.when(author.contains(","), F.substring_index(author, ",", 1)).otherwise(F.substring_index(F.trim(author), " ", -1))))
+
+
+def author_similarity(claimed: Column, author: Column) -> Column:
+    """1 for equal surnames, else the ratio of their matching blocks; 0 where one is missing. claimed: as cited, such as "Kim et al."."""
+    c = F.substring_index(F.trim(F.replace(normalised_title(F.coalesce(claimed, F.lit(""))), F.lit(" et al"), F.lit(""))), " ", 1)
+    r = F.coalesce(surname(author), F.lit(""))
+    return F.when((c == "") | (r == ""), 0.0).when(c == r, 1.0).otherwise(similarity(c, r))
+
+
+def metadata_mismatches(title: Column, author: Column, year: Column) -> Column:
+    """The fields whose similarities, where known, are too low."""
+    return F.array_compact(F.array(F.when(title < 0.85, F.lit("title")), F.when(author < 0.85, F.lit("author")), F.when(year < 1.0, F.lit("year"))))
+
+
+def stratum(source: Column, text: Column, own: Column, others: Column) -> Column:
+    """source, form of the line, verdict of one judge and of two others (number of passes), as one label."""
+    form = F.when(text.rlike(r"^[-•*\d.\s]*([^:：]{1,40})[:：]\s*(\S.*)$"), "kv").otherwise("prose")
+    return F.concat_ws("/", source, form, F.when(own, "phi+").otherwise("phi-"), F.when(others == 0, "oth-").when(others == 1, "split").otherwise("oth+"))

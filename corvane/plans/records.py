@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import human_bytes
+from ..operators import judging as J
 from ..operators import records as R
-from ..sources.tables import table
+from ..sources.tables import field_names, table
+from .phrases import said
 from .registry import query
 
 # Which event stands for which action and which status.
@@ -80,3 +83,33 @@ def _split(select: str) -> list[str]:
 @query("SELECT date_trunc('day', ts)::DATE AS day, event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1, 2")
 def daily_events(spark, sf):
     return table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+CITED = ["Kim et al.", "Smith", "Lee et al", ""]
+KNOWN = ["Kim, A.", "B. Smythe", "Lee", "Park"]
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS n FROM orders) SELECT k, CASE n WHEN 0 THEN 1.0 WHEN 1 THEN round(2 * 4 / 11.0, 9) WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS author, CASE n WHEN 1 THEN 'author' WHEN 3 THEN 'author,year' ELSE '' END AS mismatches FROM o""")
+def author_checks(spark, sf):
+    k = F.col("o_orderkey")
+    d = table(spark, sf, "orders").select(k.alias("k"), J.author_similarity(said("o_orderkey", CITED), said("o_orderkey", KNOWN)).alias("a"))
+    wrong = J.metadata_mismatches(F.lit(0.9), F.col("a"), F.when(F.col("k") % 4 == 3, 0.5).otherwise(1.0))
+    return d.select("k", F.round("a", 9).alias("author"), F.array_join(wrong, ",").alias("mismatches"))
+
+
+@query("""SELECT l_returnflag || '/' || CASE WHEN l_linenumber % 2 = 0 THEN 'kv' ELSE 'prose' END || '/' || CASE WHEN l_quantity > 25 THEN 'phi+' ELSE 'phi-' END || '/' || (['oth-', 'split', 'oth+'])[l_linenumber % 3 + 1] AS stratum, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
+def review_strata(spark, sf):
+    n = F.col("l_linenumber")
+    line = F.when(n % 2 == 0, "- key: value").otherwise("a sentence")
+    return table(spark, sf, "lineitem").groupBy(J.stratum(F.col("l_returnflag"), line, F.col("l_quantity") > 25, n % 3).alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT unnest(json_keys(props::JSON)) AS name FROM events")
+def property_names(spark, sf):
+    return field_names(table(spark, sf, "events"), "props")
+
+
+@query("""SELECT n_nationkey, (['5.0B', '1.5KB', '2.0MB', '3.0GB', '1.0PB'])[n_nationkey % 5 + 1] AS size FROM nation""")
+def human_sizes(spark, sf):
+    n = F.element_at(F.array(*[F.lit(x) for x in (5, 1536, 2 * 1024**2, 3 * 1024**3, 1024**5)]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "nation").select("n_nationkey", human_bytes(n).alias("size"))

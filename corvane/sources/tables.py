@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_pages_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scanned pages: id, note_id, file_name, page (0 if no number), text with its escapes undone."""
+def read_pages_csv(spark: SparkSession, path: str, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Scanned pages: id, note_id, file_name, page (0 if no number), text with its escapes undone; after skip rows, at most limit."""
     rows = spark.read.schema(CSV_COLUMNS).csv(path, header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1)
+    rows = rows.offset(skip) if skip else rows
+    rows = rows if limit is None else rows.limit(limit)
     return rows.select(
         F.trim("id").alias("id"), F.trim("NoteId").alias("note_id"), F.trim("fileName").alias("file_name"),
         F.coalesce(F.col("page").try_cast("int"), F.lit(0)).alias("page"), unescape(F.coalesce("text", F.lit(""))).alias("text"),
@@ -40,9 +42,30 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.{txt,md,hocr}")
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Extension, files and bytes of a tree; contents are never read."""
+    """Extension, files, bytes and deepest level of a tree; contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    return files.groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    levels = lambda c: F.size(F.split(F.regexp_replace(c, "^[A-Za-z0-9]+:/*", "/"), "/"))
+    depth = levels(F.col("path")) - levels(F.lit(path.rstrip("/")))
+    return files.groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max(depth).alias("depth"))
+
+
+def bounded_text(text: Column, most: int = 200_000) -> Column:
+    return F.substring(text, 1, most)
+
+
+def field_names(rows: DataFrame, json: str, most: int = 50) -> DataFrame:
+    """name: the keys of JSON objects in a column, at most so many, without their values."""
+    return rows.select(F.explode(F.json_object_keys(json)).alias("name")).distinct().orderBy("name").limit(most)
+
+
+def confined(path: str, root: str) -> str:
+    """path, if it lies in root; else an error, so that nothing is written elsewhere."""
+    import posixpath
+
+    whole, base = posixpath.normpath(path), posixpath.normpath(root)
+    if whole != base and not whole.startswith(base.rstrip("/") + "/"):
+        raise ValueError(f"{path} is not in {root}")
+    return path
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

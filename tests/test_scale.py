@@ -62,3 +62,21 @@ def test_pieces_keep_their_digits(spark):
 
     got = spark.createDataFrame([("0 ab 1\n 1 cd 2! 2 e 3. 12 x",)], "t string").select(T.claims(F.col("t"))).first()
     assert got[0] == ["0 ab 1", "1 cd 2!", "2 e 3.", "12 x"]
+
+
+def test_sources_are_bounded_and_confined(spark, tmp_path):
+    import pytest
+
+    from corvane.sources import tables as S
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.txt").write_text("abc")
+    (tmp_path / "y.txt").write_text("de")
+    got = S.inventory(spark, str(tmp_path)).first()
+    assert (got["ext"], got["files"], got["bytes"], got["depth"]) == (".txt", 2, 5, 3)
+    assert S.confined("/data/x/../y", "/data") == "/data/x/../y"
+    with pytest.raises(ValueError):
+        S.confined("/data/../etc", "/data")
+    csv = tmp_path / "p.csv"
+    csv.write_text("id,NoteId,fileName,page,text\n" + "".join(f"{k},n,f,{k},t\n" for k in range(9)))
+    assert sorted(r["page"] for r in S.read_pages_csv(spark, str(csv), skip=2, limit=3).collect()) == [2, 3, 4]
