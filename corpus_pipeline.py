@@ -45,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, table_bytes=TABLE_BYTES)
 
 
 STAGES = [
@@ -58,6 +58,9 @@ STAGES = [
 
 ORACLE_SQL = None
 
+#: Workers that pack have run the other stages before, and keep their tables of words: smaller ones than packing alone takes.
+TABLE_BYTES = 24 << 20
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -145,12 +145,13 @@ class Bpe:
         yield self._raw(text[at:])
 
 
-def worker_bpe(path: str | None) -> Bpe:
-    """One tokenizer for each Python worker and path; workers are used again by later tasks."""
+def worker_bpe(path: str | None, table_bytes: int = TABLE_BYTES) -> Bpe:
+    """One tokenizer for each Python worker, path and size of table; workers are used again by later tasks."""
     import tokenizers
 
     kept = sys.modules["tokenizers"].__dict__.setdefault("_corvane_bpe", {})
     assert tokenizers
-    if path not in kept:
-        kept[path] = Bpe(path)
-    return kept[path]
+    key = path, table_bytes
+    if key not in kept:
+        kept[key] = Bpe(path, table_bytes)
+    return kept[key]

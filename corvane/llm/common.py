@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -43,9 +44,21 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def release() -> None:
+    """Memory that a Python worker no longer uses goes back to the system: workers are used again, and wait with what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def texts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[tuple[list, list[str]]]:
     """Keys and texts of at most so many rows at a time; Spark bounds a batch by bytes, this what is made of it."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             part = b.slice(at, rows)
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            del part
+        del b
+        release()
+    release()

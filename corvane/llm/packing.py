@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import worker_bpe
+from .bpe import TABLE_BYTES, worker_bpe
 from .common import keyed_texts, texts
 
 WINDOW = 2048
@@ -136,18 +136,20 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
+    table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence; with_ids adds the ids themselves.
 
     sequence_id holds the task's partition in its high bits and the window's
-    number there in its low ones.
+    number there in its low ones. table_bytes bounds each worker's table of
+    words (see bpe) and changes no result.
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
     types = [pa.int64()] * 8 + ([pa.list_(pa.int32())] if with_ids else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(tokenizer)
+        bpe = worker_bpe(tokenizer, table_bytes)
         base, made = TaskContext.get().partitionId() << 36, 0
         held_ids: list = []
         held: list[np.ndarray] = []

@@ -34,11 +34,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, ship, texts
+from .common import keyed_texts, release, ship, texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -418,9 +419,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     model = train()
 
-    @F.pandas_udf("string")
-    def clean(s):
-        return s.map(lambda t: redact(t, model), na_action="ignore")
+    def clean(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in columns:
+            yield s.map(lambda t: redact(t, model), na_action="ignore")
+            del s
+            release()
+
+    clean = F.pandas_udf(clean, "string")
 
     out = docs.withColumn("text", clean("text"))
     if "n_chars" in docs.columns:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, texts, written
+from .common import keyed_texts, release, texts, written
 
 PER_CLASS = 4000
 DISCOUNT = 0.75
@@ -49,6 +49,9 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Longest word that is scored whole; longer ones are scored in parts of this length.
 LONGEST = 64
 ALPHABET = 512
+#: Words that a worker remembers, and 5-grams that it gathers before it hands them on.
+KNOWN = 150_000
+GATHERED = 500_000
 
 
 def remainder(doc_id: Column) -> Column:
@@ -76,7 +79,7 @@ def sample_labels(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     return some[0].unionByName(some[1])
 
 
-def corpus_grams(rows: DataFrame) -> DataFrame:
+def corpus_grams(rows: DataFrame, most_known: int = KNOWN, most_gathered: int = GATHERED) -> DataFrame:
     """Distinct 5-grams of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +93,14 @@ def corpus_grams(rows: DataFrame) -> DataFrame:
             known |= new
             for w in new:
                 grams.update(word_grams(w))
-            if len(known) > 1_000_000:
+            if len(known) > most_known:
                 known.clear()
-            if len(grams) > 1_000_000:
+            if len(grams) > most_gathered:
                 yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string())], names=["g"])
                 grams.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string())], names=["g"])
+        del known, grams
+        release()
 
     return rows.mapInArrow(run, "g string").distinct()
 
@@ -191,7 +196,7 @@ class Scorer:
         if not found:
             return 0.0, 0.0, 0.0
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in set(found).difference(known):
             known[w] = word_ratio(w, self.grams, self.contexts)
@@ -298,6 +303,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         for s in columns:
             x = np.array([scorer.describe(t or "") for t in s]).reshape(-1, 3)
             yield pd.Series((x - mean) / spread @ w[:-1] + w[-1] < 0)
+            del s
+            release()
 
     clean = F.pandas_udf(clean, "boolean")
 
