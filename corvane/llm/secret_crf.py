@@ -14,10 +14,12 @@ from maximum likelihood on generated lines (``TRAINING_LINES`` of them, made
 from a seed: secrets of many makes, and what resembles them - dates, numbers,
 addresses, identifiers, paths, hashes in prose).
 
-Only tokens with a digit, or of 20 characters or more with capitals amid small
-letters, may be B or I; the others are O, at which the chain falls apart exactly, so Viterbi runs over each
-maximal run of such tokens and the work is linear in the text. Spans of the
-field that lie within a base span are not said twice.
+Every token of a text may be B or I, and its neighbours are seen whole, however
+far they are. What each token is worth beyond O is summed for all tokens at
+once; where a token cannot pay for a label other than O the best path is O, and
+the chain falls apart there exactly (``Field.runs``), so that Viterbi runs over
+what is left and the work is linear in the text. Spans of the field that lie
+within a base span are not said twice.
 
 Defined results: a null or empty text has no spans; repeated rows and ties give
 their rows each; an empty table gives no rows; other columns are ignored.
@@ -47,6 +49,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 TRAINING_LINES, EPOCHS, SEED = 700, 50, 7
+#: Distinct tokens that a worker remembers.
+WORDS = 150_000
 
 TOKEN = re.compile(r"\w[\w+/.~-]*|[^\w\s]")
 DIGIT = re.compile(r"[0-9]")
@@ -55,6 +59,11 @@ MARK = re.compile(r"[0-9]|[a-z][A-Z]")
 NAME = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api_?key|apikey|key|credential|auth|bearer|pwd|private|client_secret|access", re.I)
 PREFIX = re.compile(r"AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|sk_test_|pk_live_|xox[abp]-|eyJ|AIza|ya29\.|SG\.|npm_|hf_")
 DATE = re.compile(r"\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}")
+NUMBER = re.compile(r"\d+(?:[.,]\d+)+")
+UPPER = re.compile(r"[A-Z0-9]+")
+WORD_NUMBER = re.compile(r"[a-z]+[0-9]{1,4}")
+SUFFIX = re.compile(r"\.[a-z]{2,4}$")
+LOWERS, CAPITALS, DIGITS = re.compile(r"[a-z]+"), re.compile(r"[A-Z]+"), re.compile(r"[0-9]+")
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 
 
@@ -71,35 +80,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _alphabet(t: str) -> str:
+    if t.isalpha():
+        return "hex" if not t.strip("abcdef") else "letters" if t.strip("ABCDEFGHIJKLMNOPQRSTUVWXYZ") else "upper"
+    if t[-1] == "." and t[:-1].isalpha():
+        return "mixed"
     if t.isdigit():
         return "digits"
     if UUID.fullmatch(t):
         return "uuid"
     if DATE.fullmatch(t):
         return "date"
-    if re.fullmatch(r"[0-9a-f]+", t):
+    if HEX.fullmatch(t):
         return "hex"
-    if re.fullmatch(r"\d+(?:[.,]\d+)+", t):
+    if NUMBER.fullmatch(t):
         return "number"
-    if re.fullmatch(r"[A-Z0-9]+", t):
+    if UPPER.fullmatch(t):
         return "upper"
-    if t.isalpha():
-        return "letters"
-    if re.fullmatch(r"[a-z]+[0-9]{1,4}", t):
+    if WORD_NUMBER.fullmatch(t):
         return "word-number"
-    if "/" in t or ("." in t and re.search(r"\.[a-z]{2,4}$", t)):
+    if "/" in t or ("." in t and SUFFIX.search(t)):
         return "path"
     return "mixed"
 
 
 def _entropy(t: str) -> int:
     n = len(t)
-    return int(2 * -sum(c / n * math.log2(c / n) for c in Counter(t).values()))
+    if n >= 64:
+        total = sum(c * math.log2(c) for c in Counter(t).values())
+    else:
+        total = sum([C_LOG_C[t.count(x)] for x in dict.fromkeys(t)])
+    return int(2 * (math.log2(n) - total / n))
+
+
+C_LOG_C = [c * math.log2(c) if c else 0.0 for c in range(64)]
 
 
 def _mixing(t: str) -> str:
     """How letters, capitals and digits alternate."""
-    kinds = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", t)))
+    if t.isascii() and t.isalpha():
+        if t.islower():
+            return "1"
+        if t[1:].islower():
+            return "2"
+    kinds = LOWERS.sub("a", CAPITALS.sub("A", t if t.isalpha() else DIGITS.sub("0", t)))
     return str(min(len(kinds), 9))
 
 
@@ -107,10 +130,21 @@ def _length(n: int) -> int:
     return n if n < 12 else 12 + min(n // 4, 16)
 
 
+def _may_hold_name(t: str) -> bool:
+    """Whether a part that every name has occurs, in any case; letters beyond ASCII may stand for others."""
+    if not t.isascii():
+        return True
+    x = t.lower()
+    return (
+        "pass" in x or "key" in x or "auth" in x or "secret" in x or "token" in x or "credential" in x
+        or "bearer" in x or "pwd" in x or "private" in x or "access" in x
+    )
+
+
 def _near(t: str) -> str:
     if not t:
         return "none"
-    if len(t) <= 24 and (m := NAME.search(t)):
+    if len(t) <= 24 and _may_hold_name(t) and (m := NAME.search(t)):
         return "name" if len(m[0]) * 2 > len(t) else "holds-name"
     if not (t[0].isalnum() or t[0] == "_"):
         return t if t in "=:\"'@/,.()[]#<>-" else "symbol"
@@ -121,20 +155,31 @@ def text_features(text: str, candidates: int) -> str:
     return f"{min(candidates, 6)}/{min(len(text).bit_length(), 12) // 3}"
 
 
-def features(before2: str, before: str, t: str, after: str, of_text: str) -> list[str]:
-    """One value for each template."""
-    a, mix, size = _alphabet(t), _mixing(t), _length(len(t))
+def own_kind(t: str) -> tuple[str, str, int, int, str]:
     p = PREFIX.match(t)
-    b1, b2 = _near(before), _near(before2)
+    return _alphabet(t), _mixing(t), _length(len(t)), _entropy(t), p[0] if p else ""
+
+
+def own_features(a: str, mix: str, size: int, entropy: int, prefix: str) -> list[str]:
+    """Templates that the token alone fills."""
     return [
         "bias",
         f"shape={a}",
         f"size={size}",
-        f"entropy={_entropy(t)}",
+        f"entropy={entropy}",
         f"mix={mix}",
         f"shape-size={a}/{size // 3}",
         f"shape-mix={a}/{mix}",
-        f"prefix={p[0] if p else ''}",
+        f"prefix={prefix}",
+    ]
+
+
+def features(before2: str, before: str, t: str, after: str, of_text: str) -> list[str]:
+    """One value for each template."""
+    kind = own_kind(t)
+    a, b1, b2 = kind[0], _near(before), _near(before2)
+    return [
+        *own_features(*kind),
         f"before={b1}",
         f"before2={b2}/{b1}",
         f"before-shape={b2}/{b1}/{a}",
@@ -144,6 +189,9 @@ def features(before2: str, before: str, t: str, after: str, of_text: str) -> lis
 
 
 def may_be_secret(t: str) -> bool:
+    """Whether a token counts for the text's feature; any token may be tagged."""
+    if len(t) < 20 and t.isalpha():
+        return False
     return DIGIT.search(t) is not None or len(t) >= 20 and len(RISE.findall(t)) > 1
 
 
@@ -177,8 +225,18 @@ def _generated(n: int, seed: int) -> list[list[tuple[str, int]]]:
 
     def word() -> str:
         w = "".join(r.choice(["an", "the", "ti", "or", "is", "en", "ou", "re", "st", "da", "lo", "que", "mi", "ch", "un"]) for _ in range(r.randint(1, 4)))
+        if r.random() < 0.3:  # letters of other languages
+            for _ in range(r.randint(1, 4)):
+                at = r.randint(0, len(w))
+                w = w[:at] + r.choice("áéíóñçèêüöäß한국어") + w[at:]
         return w.capitalize() if r.random() < 0.15 else w
 
+    def written() -> str:
+        return word() + r.choice(["", "", "", "", ".", ".", ",", "-" + word(), "_" + word(), "/" + word()])
+
+    def phrase() -> str:
+        return "-".join("".join(c for c in word() if c.isascii()) or "a" for _ in range(r.randint(4, 6)))
+
     def secret() -> str:
         return r.choice(
             [
@@ -191,6 +249,7 @@ def _generated(n: int, seed: int) -> list[list[tuple[str, int]]]:
                 lambda: rand("0123456789abcdef", r.choice([24, 32, 40, 64])),
                 lambda: rand(every + "+/", r.choice([24, 32, 40, 44])),
                 lambda: rand(every, r.randint(20, 36)),
+                lambda: rand(lower + upper, r.randint(20, 36)),
             ]
         )()
 
@@ -210,6 +269,7 @@ def _generated(n: int, seed: int) -> list[list[tuple[str, int]]]:
                 lambda: "-".join(rand("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
                 lambda: rand("0123456789abcdef", 7),
                 lambda: "".join(word() for _ in range(r.randint(4, 7))),
+                lambda: "-".join(word() for _ in range(r.randint(2, 4))),
                 lambda: "ISBN " + rand(digits, 13),
                 lambda: rand(upper, 2) + "-" + rand(digits, r.randint(3, 6)),
                 lambda: "".join(r.choice("*$%&#") * 3 for _ in range(3)),
@@ -225,22 +285,27 @@ def _generated(n: int, seed: int) -> list[list[tuple[str, int]]]:
                 out.append((t, (1 if j == 0 else 2) if secret_ else 0))
 
         for _ in range(r.randint(1, 5)):
-            put(word())
+            put(written())
         roll = r.random()
         if roll < 0.25:
             put(r.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "client_secret", "auth_token", "private_key", "PASSWORD"]) + r.choice(["=", ": ", " = ", '="', "='", ' = "']))
-            put(rand(every, r.randint(8, 24)) if r.random() < 0.6 else secret(), True)
+            kind = r.random()
+            put(rand(every, r.randint(8, 24)) if kind < 0.5 else phrase() if kind < 0.7 else secret(), True)
         elif roll < 0.45:
             if r.random() < 0.5:
                 put(r.choice(["key", "bearer", "auth", "credential", "access"]) + r.choice([" ", ": "]))
-            put(secret(), True)
+            if r.random() < 0.15:
+                put(r.choice(["passphrase", "password", "token", "secret"]) + r.choice([" ", ": "]))
+                put(phrase(), True)
+            else:
+                put(secret(), True)
         else:
             if r.random() < 0.15:
                 put(r.choice(["password", "token", "secret", "key"]))
                 put(word())
             put(harmless())
         for _ in range(r.randint(0, 4)):
-            put(harmless() if r.random() < 0.25 else word())
+            put(harmless() if r.random() < 0.25 else written())
         lines.append(out[:40])
     return lines
 
@@ -275,23 +340,20 @@ def train(lines: int = TRAINING_LINES, epochs: int = EPOCHS, seed: int = SEED) -
     x = np.zeros((len(data), most, width), dtype=np.int32)
     y = np.zeros((len(data), most), dtype=np.int64)
     real = np.zeros((len(data), most), dtype=bool)
-    free = np.zeros((len(data), most), dtype=bool)
     for k, line in enumerate(data):
         ts = ["", "", *[t for t, _ in line], ""]
         of_text = told[k]
         for j, (t, label) in enumerate(line):
-            real[k, j], free[k, j] = True, may_be_secret(t)
-            y[k, j] = label if free[k, j] else 0
+            real[k, j], y[k, j] = True, label
             x[k, j] = [names.setdefault(f, len(names)) for f in features(ts[j], ts[j + 1], t, ts[j + 3], of_text)]
     w, trans = np.zeros((len(names), 3)), np.zeros((3, 3))
     gw, gt = np.full_like(w, 1e-6), np.full_like(trans, 1e-6)
     hot = np.eye(3)[y] * real[..., None]
-    forced = np.where(free[..., None], 0.0, np.array([0.0, -1e3, -1e3]))
     lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
     big = np.where(np.isinf(ALLOWED), -1e3, 0.0)
     for _ in range(epochs):
         step = trans + big
-        e = w[x].sum(2) + forced
+        e = w[x].sum(2)
         f = np.zeros_like(e)
         b = np.zeros_like(e)
         f[:, 0] = step[0] + e[:, 0]
@@ -318,53 +380,122 @@ def train(lines: int = TRAINING_LINES, epochs: int = EPOCHS, seed: int = SEED) -
     return {n: tuple(w[k].tolist()) for n, k in names.items() if n}, trans.tolist()
 
 
-def field_spans(text: str, model: tuple[dict, list]) -> list[tuple[int, int]]:
-    """Spans (start, end) of the tokens that Viterbi tags."""
-    found: dict[int, int] = {}
-    at = -1
-    for m in MARK.finditer(text):
-        if m.start() < at:
-            continue
-        a = m.start()
-        # the token around it: tokens open with a word character
-        lo = a
-        while lo > 0 and (text[lo - 1].isalnum() or text[lo - 1] in "_+/.~-"):
-            lo -= 1
-        while lo < a and not (text[lo].isalnum() or text[lo] == "_"):
-            lo += 1
-        t = TOKEN.match(text, max(lo, at))
-        at = t.end()
-        if may_be_secret(t[0]):
-            found[t.start()] = at
-    if not found:
+NEAR = ("none", "name", "holds-name", "symbol", "number", "word", *"=:\"'@/,.()[]#<>-")
+NEAR_AT = {n: k for k, n in enumerate(NEAR)}
+ALPHABETS = ("digits", "uuid", "date", "hex", "number", "upper", "letters", "word-number", "path", "mixed")
+
+
+class Field(dict):
+    """The trained field, ready to tag texts; as a dict, each token's kind (<< 6), what it is to its neighbours (<< 1) and may_be_secret.
+
+    Scores are those of B and I less that of O. Each is a sum of what the token
+    itself gives, what its neighbours' kinds give and what the text gives.
+    """
+
+    def __init__(self, model: tuple[dict, list]):
+        weights, trans = model
+        none = (0.0, 0.0, 0.0)
+        self.weights = {f: (b - o, i - o) for f, (o, b, i) in weights.items()}
+        w = lambda f: self.weights.get(f, none[:2])
+        self.left = np.zeros((len(NEAR), len(NEAR), len(ALPHABETS), 2))  # by the second and the first token before, and the alphabet
+        for i, b2 in enumerate(NEAR):
+            for j, b1 in enumerate(NEAR):
+                both = np.add(w(f"before={b1}"), w(f"before2={b2}/{b1}"))
+                for k, a in enumerate(ALPHABETS):
+                    self.left[i, j, k] = both + w(f"before-shape={b2}/{b1}/{a}")
+        self.right = np.array([w(f"after={n}") for n in NEAR])
+        self.step = np.array(trans)
+        # what relabelling n tokens in a row as O can cost in transitions: enter + (n - 1) * within + leave, or
+        # + leave_i where the next token, an I, becomes a B
+        t = self.step + ALLOWED
+        self.enter = float(max(t[p, x] - t[p, 0] for p in range(3) for x in (1, 2)))
+        self.within = float((t[1:, 1:] - t[0, 0]).max())
+        self.leave = float(max(t[x, q] - t[0, q] for x in (1, 2) for q in (0, 1)))
+        self.leave_i = float(t[1:, 2].max() - t[0, 1] + (t[2] - t[1]).max())
+        #: Tokens below it cannot pay for being anything but O, however many follow each other.
+        self.weak = min(-(self.enter + self.leave), -self.within, 0.0) - 1e-6
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.chars = 0
+        self.kinds: dict[tuple, int] = {}
+        self.own, self.alphabet = np.zeros((0, 2)), np.zeros(0, dtype=np.int64)  # by kind
+        self.worth: list[tuple] = []
+
+    def __missing__(self, t: str) -> int:
+        kind = own_kind(t)
+        k = self.kinds.get(kind)
+        if k is None:
+            k = self.kinds[kind] = len(self.worth)
+            some = [self.weights.get(f, (0.0, 0.0)) for f in own_features(*kind)]
+            self.worth.append((sum(x for x, _ in some), sum(x for _, x in some), ALPHABETS.index(kind[0])))
+        self[t] = code = k << 6 | NEAR_AT[_near(t)] << 1 | may_be_secret(t)
+        self.chars += len(t)
+        return code
+
+    def scores(self, text: str, tokens: list[str]) -> np.ndarray:
+        """tokens x 2: what B and I are worth at each token, beyond O."""
+        if len(self) > WORDS or self.chars > WORDS * 16:
+            self.reset()
+        codes = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if len(self.own) < len(self.worth):
+            worth = np.array(self.worth)
+            self.own, self.alphabet = worth[:, :2].copy(), worth[:, 2].astype(np.int64)
+        kinds, near = codes >> 6, np.zeros(len(codes) + 3, dtype=np.int64)
+        near[2:-1] = codes >> 1 & 31
+        out = self.own[kinds] + self.left[near[:-3], near[1:-2], self.alphabet[kinds]] + self.right[near[3:]]
+        return out + self.weights.get("text=" + text_features(text, int((codes & 1).sum())), (0.0, 0.0))
+
+    def runs(self, scores: np.ndarray) -> list[tuple[int, int]]:
+        """Runs (first, end) of tokens outside which the best path is O.
+
+        A stretch of weak tokens that a path tags is worth less than it costs,
+        so relabelling it as O gives a better path. Only where a tagged token
+        that is not weak follows as I, which then must become B, can the last
+        ones of the stretch pay; these belong to the run.
+        """
+        best = scores.max(1)
+        out: list[list[int]] = []
+        for x in np.flatnonzero(best >= self.weak).tolist():
+            end = out[-1][1] if out else 0
+            lo, cost = x, self.enter + self.leave_i - self.within + float(scores[x, 1] - scores[x, 0])
+            while lo > end:
+                cost += float(best[lo - 1]) + self.within
+                if cost < -1e-6:
+                    break
+                lo -= 1
+            if out and lo == end:
+                out[-1][1] = x + 1
+            else:
+                out.append([lo, x + 1])
+        return [(a, b) for a, b in out]
+
+
+def field_spans(text: str, model: tuple[dict, list] | Field) -> list[tuple[int, int]]:
+    """Spans (start, end) of the tokens that Viterbi tags, of all tokens of the text."""
+    field = model if isinstance(model, Field) else Field(model)
+    tokens = TOKEN.findall(text)
+    if not tokens:
         return []
-    weights, trans = model
-    step = np.array(trans)
-    of_text = text_features(text, len(found))
-    runs: list[list[tuple[int, int]]] = []
-    for a, b in sorted(found.items()):
-        if runs and not text[runs[-1][-1][1] : a].strip():
-            runs[-1].append((a, b))
-        else:
-            runs.append([(a, b)])
-    out = []
-    none = (0.0, 0.0, 0.0)
-    for run in runs:
-        left = TOKEN.findall(text[max(0, run[0][0] - 48) : run[0][0]])[-2:]
-        right = TOKEN.search(text, run[-1][1], run[-1][1] + 48)
-        ts = ["", "", *left][-2:] + [text[a:b] for a, b in run] + [right[0] if right else ""]
-        emission = np.array(
-            [np.sum([weights.get(f, none) for f in features(*ts[j : j + 4], of_text)], axis=0) for j in range(len(run))]
-        )
-        for (a, b), label in zip(run, viterbi(emission, step)):
-            if label == 1:
-                out.append((a, b))
-            elif label == 2 and out:
-                out[-1] = (out[-1][0], b)
+    scores = field.scores(text, tokens)
+    labels = {}
+    for a, b in field.runs(scores):
+        emission = np.concatenate([np.zeros((b - a, 1)), scores[a:b]], axis=1)
+        labels |= {a + k: x for k, x in enumerate(viterbi(emission, field.step)) if x}
+    if not labels:
+        return []
+    out: list[tuple[int, int]] = []
+    for k, m in enumerate(TOKEN.finditer(text)):
+        x = labels.get(k)
+        if x == 1:
+            out.append(m.span())
+        elif x == 2:
+            out[-1] = (out[-1][0], m.end())
     return out
 
 
-def find(text: str, model: tuple[dict, list]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str, model: tuple[dict, list] | Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: (start, kind, end)."""
     base = base_spans(text)
     more = []
@@ -388,10 +519,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+        field = Field(model)
         for keys, some in texts(batches):
             out: list[list] = [[] for _ in names]
             for k, t in zip(keys, some):
-                base, every = find(t, model)
+                base, every = find(t, field)
                 n = Counter(x[1] for x in every)
                 row = (k, n[0], n[1], n[2], hashlib.sha256(said(base).encode()).hexdigest(), said(every), n[3])
                 for col, v in zip(out, row):
@@ -401,7 +533,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return keyed_texts(docs, key, text).mapInArrow(run, SCHEMA)
 
 
-def redact(text: str, model: tuple[dict, list], mark: str = "[SECRET]") -> str:
+def redact(text: str, model: tuple[dict, list] | Field, mark: str = "[SECRET]") -> str:
     """text with each secret replaced; of an assignment, its value alone."""
     cuts = []
     for a, kind, b in find(text, model)[1]:
@@ -420,8 +552,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     model = train()
 
     def clean(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        field = Field(model)
         for s in columns:
-            yield s.map(lambda t: redact(t, model), na_action="ignore")
+            yield s.map(lambda t: redact(t, field), na_action="ignore")
             del s
             release()
 
