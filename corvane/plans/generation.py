@@ -10,6 +10,7 @@ from ..operators import gateway as W
 from ..operators import generation as G
 from ..sources import records as R
 from ..sources.tables import table
+from ..storage import written
 from .phrases import quoted, said, said_sql
 from .registry import query
 
@@ -64,6 +65,7 @@ def claim_rows(spark, sf):
 @query()
 def claim_evidence_triples(spark, sf):
     s = E.sentences(claim_rows(spark, sf), "doc").withColumn("id", F.xxhash64("doc", "place", "sentence"))
+    s = written(s.where("claim or evidence"), "sentences")
     return E.triples(s.where("claim"), s.where("evidence"))
 
 
