@@ -26,6 +26,11 @@ DISCUSSION_SPLIT = r"(?<=다)\.\s*"
 CORPUS_SPLIT = r"(?<![0-9A-Za-z])\.(?=\s)|[!?。]|\n+|(?<=[다음함됨])\.\s"
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is made once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs become one space, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACES, " "))
@@ -43,7 +48,7 @@ def unescape(text: Column) -> Column:
 
 def count_of(text: Column, characters: str) -> Column:
     """How many characters of a class such as 'A-Z' the text has."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))
 
 
 def letter_ratio(text: Column) -> Column:
@@ -71,8 +76,8 @@ def gate_sentences(text: Column) -> Column:
 
 def match_tokens(text: Column, stop: list[str] = MATCH_STOP) -> Column:
     """The set of lower-case tokens of two characters or more, without stop words."""
-    all_ = F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), F.lower)
-    return F.array_distinct(F.filter(all_, lambda t: (F.length(t) > 1) & ~t.isin(stop)))
+    long = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TOKEN[:-1]}{{2,}})"), 1))
+    return F.array_except(F.transform(long, F.lower), F.array(*map(F.lit, stop)))  # a set, in the order of the first
 
 
 def nli_tokens(text: Column) -> Column:
