@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import quick
+
 # Surnames, words that begin like names but are none, and what is replaced, in this order, with the pseudonym's prefix.
 SURNAME = "김이박최정강조윤장임한오서신권황안송류전홍고문양손배백허유남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용예경봉사부"
 NOT_NAME = (
@@ -61,32 +66,95 @@ def pseudonym(value: str, prefix: str, salt: str) -> str:
     return f"{prefix}_{hashlib.sha256(f'{salt}::{value.strip()}'.encode()).hexdigest()[:4].upper()}"
 
 
+#: Without any of these no rule matches.
+ANY = re.compile(r"[@가-힣]|01[016789]|\d{6}\s*[-–]")
+HANGUL = re.compile("[가-힣]+")
+#: What a text must hold for a rule to match: a plain string, by the rule's prefix.
+NEEDS = {"연락처": "01", "이메일": "@"} | {name: name for _, name in RULES[3:]}
+COMPILED = [(re.compile(p), prefix) for p, prefix in ALL_RULES]
+LABELS = {prefix: re.compile(prefix + "[:： ]") for _, prefix in RULES[3:]}
+MAIL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _mails(text: str) -> Iterator[int]:
+    at = text.find("@")
+    while at >= 0:
+        k = at
+        while k > 0 and at - k <= 64 and text[k - 1] in MAIL:
+            k -= 1
+        if 0 < at - k <= 64:
+            yield k
+        at = text.find("@", at + 1)
+
+
+def _begins(k: int, prefix: str, text: str) -> Iterator[int] | None:
+    """Where a rule's match can begin, from left to right; None: anywhere.
+
+    A name before a title begins with a run of Hangul, a labelled one with what
+    follows the label, an address with a run of its characters before an @.
+    """
+    if k == len(RULES):
+        return (m.start() for m in HANGUL.finditer(text))
+    if prefix in LABELS:
+        return (m.end() for m in LABELS[prefix].finditer(text))
+    if prefix == "이메일":
+        return _mails(text)
+    return None
+
+
+def matches(k: int, text: str) -> Iterable[re.Match]:
+    """What finditer gives for the k-th rule, found sooner."""
+    pattern, prefix = COMPILED[k]
+    need = NEEDS.get(prefix)
+    if need and need not in text:
+        return
+    begins = _begins(k, prefix, text)
+    if begins is None:
+        yield from pattern.finditer(text)
+        return
+    done = 0
+    for at in begins:
+        if at >= done and (m := pattern.match(text, at)):
+            yield m
+            done = m.end()
+
+
 def left(text: str) -> dict[str, int]:
     """Matches by prefix that are left, pseudonyms aside."""
     out: dict[str, int] = {}
-    for pattern, prefix in ALL_RULES:
-        n = sum(1 for m in re.finditer(pattern, text) if not re.match(r"_[0-9A-F]{4}\b", text[m.end() : m.end() + 8]))
+    for k, (_, prefix) in enumerate(ALL_RULES):
+        n = sum(1 for m in matches(k, text) if not re.match(r"_[0-9A-F]{4}\b", text[m.end() : m.end() + 8]))
         if n:
             out[prefix] = out.get(prefix, 0) + n
     return out
 
 
-def replaced(text: str, salt: str) -> tuple[str, int, int]:
-    """The text with pseudonyms, how many were put, and passes: at least one, more while something is left, at most PASSES."""
+def judged(text: str, salt: str) -> tuple[str, int, int, int]:
+    """The text with pseudonyms, how many were put, passes (at least one, more while something is left, at most PASSES), and how many matches are left."""
     put = 0
+    if not ANY.search(text):
+        return text, put, 1, 0
     for done in range(1, PASSES + 1):
-        for pattern, prefix in ALL_RULES:
-
-            def one(m: re.Match, prefix: str = prefix) -> str:
-                nonlocal put
-                put += 1
+        before, rest = put, {}
+        for k, (_, prefix) in enumerate(ALL_RULES):
+            parts, at = [], 0
+            for m in matches(k, text):
                 value = m[1] if m.re.groups else m[0]
-                return m[0].replace(value, pseudonym(value, prefix, salt))
-
-            text = re.sub(pattern, one, text)
-        if not left(text):
+                parts += (text[at : m.start()], m[0].replace(value, pseudonym(value, prefix, salt)))
+                at = m.end()
+                put += 1
+            if parts:
+                text = "".join((*parts, text[at:]))
+        if put > before:  # else no rule matches the text, so nothing is left
+            rest = left(text)
+        if not rest:
             break
-    return text, put, done
+    return text, put, done, sum(rest.values())
+
+
+def replaced(text: str, salt: str) -> tuple[str, int, int]:
+    """The first three of judged."""
+    return judged(text, salt)[:3]
 
 
 def deidentified(text: Column, salt: str) -> Column:
@@ -104,16 +172,26 @@ def deidentification(text: Column, salt: str) -> Column:
 
     @F.pandas_udf("struct<text:string,put:int,passes:int,left:int>")
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None, None) if t is None else (*replaced(t, salt), 0) for t in s]
-        rows = [r if r[0] is None else (*r[:3], sum(left(r[0]).values())) for r in rows]
+        rows = [(None, None, None, None) if t is None else judged(t, salt) for t in s]
         return pd.DataFrame(rows, columns=["text", "put", "passes", "left"])
 
     return run(text)
 
 
+def _found(text: Column, pattern: str, prefix: str, search) -> Column:
+    """search for a rule's match that no pseudonym follows, where the text holds what each match holds; null elsewhere."""
+    found = search(text, F.lit(quick(f"(?>{pattern})(?!_[0-9A-F]{{4}})")))
+    return F.when(text.contains(NEEDS[prefix]), found) if prefix in NEEDS else found
+
+
 def residual(text: Column) -> Column:
     """Matches of the rules that are left, pseudonyms aside."""
-    return sum((F.regexp_count(text, F.lit(f"(?>{p})(?!_[0-9A-F]{{4}})")) for p, _ in RULES), F.lit(0))
+    return sum((F.when(text.isNotNull(), F.coalesce(_found(text, p, prefix, F.regexp_count), F.lit(0))) for p, prefix in RULES), F.lit(0))
+
+
+def has_residual(text: Column) -> Column:
+    """Whether any is left; the first that is settles it."""
+    return reduce(or_, [F.coalesce(_found(text, p, prefix, F.regexp_like), F.lit(False)) for p, prefix in RULES])
 
 
 def _mask(text: str) -> str:
