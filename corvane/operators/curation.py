@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.patterns import quick
 from ..functions.text import letter_ratio, squeeze
 from ..storage import written
 from .order import placed
@@ -57,28 +58,36 @@ MIN_CHARS, MIN_LETTERS = 200, 0.30
 
 def has(text: Column, hangul: str, latin: str | None = None) -> Column:
     """Whether either pattern occurs; each alternative of the first holds a Hangul letter, so other texts are not searched for it."""
-    found = text.rlike("[가-힣]") & text.rlike("(?i)" + hangul)
+    found = text.rlike("[가-힣]") & text.rlike(quick("(?i)" + hangul))
     if latin:
         low = F.lower(text)
         stem = reduce(or_, [low.contains(x) for x in STEMS[latin]])  # a plain search is much cheaper than the pattern
-        found = (stem & text.rlike("(?i)" + latin)) | found
+        found = (stem & text.rlike(quick("(?i)" + latin))) | found
     return F.coalesce(found, F.lit(False))
 
 
+def _signs(text: Column) -> tuple[Column, Column, Column]:
+    both = has(text, HEALTH, HEALTH_LATIN) & has(text, SUBJECT, SUBJECT_LATIN)
+    clinical = has(text, CLINICAL) & ~text.rlike(quick("(?i)" + NONHUMAN))
+    return has(text, ADVERSE, ADVERSE_LATIN), both, clinical
+
+
 def sensitive_signals(text: Column) -> Column:
     """adverse; subject_health where both marks stand; otherwise clinical, unless about other subjects."""
-    both = has(text, HEALTH, HEALTH_LATIN) & has(text, SUBJECT, SUBJECT_LATIN)
-    clinical = has(text, CLINICAL) & ~text.rlike("(?i)" + NONHUMAN)
-    return F.array_compact(
-        F.array(F.when(has(text, ADVERSE, ADVERSE_LATIN), F.lit("adverse")), F.when(both, "subject_health").when(clinical, "clinical"))
-    )
+    adverse, both, clinical = _signs(text)
+    return F.array_compact(F.array(F.when(adverse, F.lit("adverse")), F.when(both, "subject_health").when(clinical, "clinical")))
+
+
+def is_sensitive(text: Column) -> Column:
+    """Whether a text has any of these signals; the first that stands settles it."""
+    return F.coalesce(reduce(or_, _signs(text)), F.lit(False))
 
 
 def bounded_violations(text: Column) -> Column:
     """Names of the quantities of which a value lies outside its bounds."""
     out = []
     for name, (pattern, lo, hi) in BOUNDED.items():
-        v = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + pattern), 1), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+        v = F.transform(F.regexp_extract_all(text, F.lit(quick("(?i)" + pattern)), 1), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
         out.append(F.when(F.exists(v, lambda x: (x < lo) | (x > hi)), F.lit(name)))
     return F.array_compact(F.array(*out))
 
@@ -95,7 +104,7 @@ def gate(
     """
     text = F.coalesce("text", F.lit(""))
     norm = squeeze(text)
-    blocked = F.size(sensitive_signals(text)) > 0 if sensitive is None else sensitive
+    blocked = is_sensitive(text) if sensitive is None else sensitive
     reason = F.when(F.lit(False) if paper is None else paper, "paper").when(blocked, "sensitive")
     reason = reason.when(F.length(norm) < min_chars, "too_short").when(letter_ratio(norm) < min_letters, "low_letter")
     kept = docs.select("doc_id", *carry).columns[1:]
