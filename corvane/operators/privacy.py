@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy as P
 from ..storage import written
-from .curation import sensitive_signals
+from .curation import is_sensitive
 
 RRN = r"(\d{6})\s*[-–]\s*([1-4]\d{6})"
 
 
 def flag_documents(rows: DataFrame, document: str, text: str = "text") -> DataFrame:
     """document, n (rows), flagged (sensitive rows), sensitive: whether any row is."""
-    s = F.size(sensitive_signals(F.coalesce(text, F.lit("")))) > 0
+    s = is_sensitive(F.coalesce(text, F.lit("")))
     return rows.select(document, s.alias("s")).groupBy(document).agg(F.count("*").alias("n"), F.count_if("s").alias("flagged"), F.bool_or("s").alias("sensitive"))
 
 
 def without_sensitive_documents(rows: DataFrame, document: str, text: str = "text") -> DataFrame:
     """rows of documents without any sensitive row; rows without a document stay if they are not sensitive themselves."""
-    s = F.size(sensitive_signals(F.coalesce(text, F.lit("")))) > 0
+    s = is_sensitive(F.coalesce(text, F.lit("")))
     bad = rows.where(s).select(document).distinct()
     return rows.join(bad, document, "left_anti").where(F.col(document).isNotNull() | ~s)
 
@@ -37,8 +37,9 @@ def promotions(records: DataFrame, salt: str, fields: tuple[str, ...] = ("key",
     """
     bad = F.lit(False)
     for f in fields:
-        bad = bad | (F.size(sensitive_signals(F.coalesce(f, F.lit("")))) > 0)
-    d = records.withColumn("_bad", bad).withColumns({f"_{f}": P.deidentification(F.coalesce(f, F.lit("")), salt) for f in fields})
+        bad = bad | is_sensitive(F.coalesce(f, F.lit("")))
+    d = records.withColumn("_bad", bad)
+    d = d.withColumns({f"_{f}": P.deidentification(F.when(~F.col("_bad"), F.coalesce(f, F.lit(""))), salt) for f in fields})  # a rejected row's text is not needed
     left = sum((F.col(f"_{f}.left") for f in fields), F.lit(0))
     d = d.withColumn("verdict", F.when(F.col("_bad"), "sensitive").when(left > 0, "residual").otherwise("promoted"))
     fine = F.col("verdict") == "promoted"
