@@ -40,7 +40,7 @@ def _literal_map(d: dict[str, str]) -> Column:
 
 
 def negated(tokens: Column) -> Column:
-    return F.exists(tokens, lambda t: t.isin(NEGATION) | t.rlike("않|없|못"))
+    return F.arrays_overlap(tokens, F.array(*map(F.lit, NEGATION))) | F.array_join(tokens, " ").rlike("[않없못]")
 
 
 def polarity_conflict(premise: Column, hypothesis: Column) -> Column:

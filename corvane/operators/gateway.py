@@ -29,8 +29,10 @@ def fitted_entailment(pairs: DataFrame, key: list[str], weights: tuple[DataFrame
     idf_, default = weights
     p, h = T.nli_tokens(F.coalesce(premise, F.lit(""))), T.nli_tokens(F.coalesce(hypothesis, F.lit("")))
     rows = pairs.select(*key, p.alias("p"), h.alias("h"))
-    rows = rows.select(*key, S.polarity_conflict(F.col("p"), F.col("h")).alias("conflict"), "p", "h", F.explode_outer(F.array_union("p", "h")).alias("token"))
-    rows = rows.select(*key, "conflict", "token", F.array_contains("p", F.col("token")).alias("in_p"), F.array_contains("h", F.col("token")).alias("in_h"))
+    kinds = ((F.array_intersect("p", "h"), True, True), (F.array_except("p", "h"), True, False), (F.array_except("h", "p"), False, True))
+    each = [F.transform(s, lambda t: F.struct(t.alias("token"), F.lit(a).alias("in_p"), F.lit(b).alias("in_h"))) for s, a, b in kinds]
+    rows = rows.select(*key, S.polarity_conflict(F.col("p"), F.col("h")).alias("conflict"), F.concat(*each).alias("each"))
+    rows = rows.select(*key, "conflict", F.explode_outer("each").alias("t")).select(*key, "conflict", "t.*")  # what is made beside an explode is made for each of its rows
     w = rows.join(idf_, "token", "left").join(F.broadcast(default)).withColumn("w2", F.pow(F.coalesce("idf", "unseen"), 2))  # default: one row
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("w2"))), F.lit(0.0))
     g = w.groupBy(*key).agg(part(F.col("in_p") & F.col("in_h")).alias("dot"), part(F.col("in_p")).alias("np"), part(F.col("in_h")).alias("nh"), F.bool_or("conflict").alias("conflict"))
