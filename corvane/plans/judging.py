@@ -168,8 +168,8 @@ def consensus_sentences(spark, sf):
 
 @query(JUDGED + """SELECT k, CASE WHEN len(sents) = 0 THEN false ELSE len(list_filter(sents, lambda x: CASE WHEN x.t = 'plain text' THEN x.m < 0.3 ELSE (x.m >= 0.5)::INT + (x.m + 0.05 >= 0.5)::INT + (x.e >= 0.5)::INT + (x.m * 2 >= 0.5)::INT < 3 END)) = 0 END AS passes FROM c""")
 def key_value_rows(spark, sf):
-    j = judged(spark, sf)
-    one = lambda f: F.transform("sents", lambda s: F.when(J.key_value(s["text"]).isNotNull(), f(s)))
+    j = judged(spark, sf).select("k", "sents").withColumn("kv", F.transform("sents", lambda s: J.is_key_value(s["text"])))
+    one = lambda f: F.transform("sents", lambda s, i: F.when(F.get("kv", i), f(s)))
     kv = F.array(one(lambda s: s["llm"]), one(lambda s: s["llm"] + 0.05), one(lambda s: s["enc"]), one(lambda s: s["llm"] * 2))
     return j.select("k", J.kv_row_passes(kv, F.transform("sents", lambda s: s["llm"] >= 0.3)).alias("passes"))
 
