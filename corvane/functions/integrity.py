@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import quick
+from .text import let
+
 # Unit spellings and marks that the scores look for.
 ALCOA_UNIT = r"([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)[ \t]*(°c|℃|k|mol|mm|nm|μm|ph|%|명|건|개|회|년|세|시간|일|주|개월|점|배)"
 ALCOA_INCOMPLETE = r"\.\.\.|…|등등|기타\s*등|TBD|to be|작성\s*예정"
@@ -27,12 +30,12 @@ LIMIT_DAYS = 3
 
 
 def _has(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
+    return F.coalesce(text.rlike(quick("(?i)" + pattern)), F.lit(False))
 
 
 def value_units(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """Set of (u, v); units in lower case where case is ignored."""
-    p = F.lit(("(?i)" if ignore_case else "") + pattern)
+    p = F.lit(quick(("(?i)" if ignore_case else "") + pattern))
     unit = (lambda u: F.lower(u)) if ignore_case else (lambda u: u)
     return F.array_distinct(F.zip_with(F.regexp_extract_all(text, p, 2), F.regexp_extract_all(text, p, 1), lambda u, v: F.struct(unit(u).alias("u"), v.alias("v"))))
 
@@ -73,23 +76,22 @@ def _label(text: Column, pattern: str) -> Column:
 
 
 def attributable(text: Column) -> Column:
-    signed = lambda p: (_label(text, p) != "") & ~_has(_label(text, p), NO_SIGN)
+    signed = lambda p: let(_label(text, p), lambda name: (name != "") & ~_has(name, NO_SIGN))
     return 1.0 - F.when(signed(r"연구자[^:：\n]*[:：]\s*([^\n]*)"), 0.0).otherwise(0.6) - F.when(signed(r"점검자[^:：\n]*[:：]\s*([^\n]*)"), 0.0).otherwise(0.4)
 
 
 def contemporaneous(text: Column, limit: int = LIMIT_DAYS) -> Column:
     day = lambda p: F.regexp_extract(text, p + r"\s*[:：]\s*(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
-    delay = F.datediff(day("기록일"), day("실험일"))
-    late = F.greatest(F.lit(0.0), 1.0 - (delay - limit) / 30)
-    return F.when(delay.isNull() | (delay < 0), 0.0).when(delay <= limit, 1.0).otherwise(late)
+    late = lambda delay: F.greatest(F.lit(0.0), 1.0 - (delay - limit) / 30)
+    return let(F.datediff(day("기록일"), day("실험일")), lambda delay: F.when(delay.isNull() | (delay < 0), 0.0).when(delay <= limit, 1.0).otherwise(late(delay)))
 
 
 def original(text: Column, evidence: Column) -> Column:
     """0 if a unit's values in the results were replaced and no correction is noted; nothing to compare: 1."""
-    body = lambda t: F.coalesce(F.nullif(section(t, "4. 결과"), F.lit("")), t)
-    cur, ref = value_units(body(text), RECORD_UNIT, False), value_units(body(evidence), RECORD_UNIT, False)
-    gone, added = F.array_except(ref, cur), F.array_except(cur, ref)
-    replaced = F.exists(gone, lambda x: F.exists(added, lambda y: y["u"] == x["u"]))
+    body = lambda t: let(section(t, "4. 결과"), lambda s: F.when(s != "", s).otherwise(t))
+    both = F.struct(*[value_units(body(t), RECORD_UNIT, False).alias(k) for k, t in (("cur", text), ("ref", evidence))])
+    units = lambda b, a, c: F.transform(F.array_except(b[a], b[c]), lambda x: x["u"])
+    replaced = let(both, lambda b: F.arrays_overlap(units(b, "ref", "cur"), units(b, "cur", "ref")))
     return F.when(F.coalesce(replaced, F.lit(False)) & ~_has(text, CORRECTION), 0.0).otherwise(1.0)
 
 
@@ -99,10 +101,10 @@ def complete(text: Column) -> Column:
 
 def consistent(text: Column) -> Column:
     """0 if the discussion restates a value that the results have otherwise."""
-    results = value_units(F.coalesce(F.nullif(section(text, "4. 결과"), F.lit("")), text), RECORD_UNIT, False)
+    results = let(section(text, "4. 결과"), lambda s: value_units(F.when(s != "", s).otherwise(text), RECORD_UNIT, False))
     said = F.filter(F.split(section(text, "5. 고찰"), r"(?<=다)\.\s*"), lambda s: s.rlike(RESTATED) & ~s.rlike(PLANNED) & ~s.rlike(DERIVED))
     again = value_units(F.array_join(said, " "), RECORD_UNIT, False)
-    clash = F.exists(again, lambda x: F.exists(results, lambda y: y["u"] == x["u"]) & ~F.array_contains(results, x))
+    clash = let(results, lambda r: F.exists(again, lambda x: F.exists(r, lambda y: y["u"] == x["u"]) & ~F.array_contains(r, x)))
     return F.when(clash, 0.0).otherwise(1.0)
 
 
