@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import tamper_number
-from ..functions.text import particle
+from ..functions.patterns import quick
+from ..functions.text import let, particle
 
 # Words and their opposites, a DOI that does not exist, authors to swap in.
 ANTONYMS = {
@@ -23,7 +24,7 @@ FAKE_PROJECT = "NCT09999999"
 
 def tamper_polarity(sentence: Column) -> Column:
     """The first word with an opposite replaced by it, capitals kept; null where there is none."""
-    p = r"(?i)(?<![A-Za-z0-9_])(" + "|".join(ANTONYMS) + r")(?![A-Za-z0-9_])"
+    p = quick(r"(?i)(?<![A-Za-z0-9_])(" + "|".join(ANTONYMS) + r")(?![A-Za-z0-9_])")
     word = F.regexp_extract(sentence, p, 1)
     at = F.length(F.regexp_extract(sentence, rf"(?is)^(.*?)(?<![A-Za-z0-9_])(?:{'|'.join(ANTONYMS)})(?![A-Za-z0-9_])", 1))
     other = F.create_map(*[F.lit(x) for kv in ANTONYMS.items() for x in kv])[F.lower(word)]
@@ -51,10 +52,10 @@ def examples(claims: DataFrame) -> DataFrame:
     """label, halluc_type, response with each row's columns (claim, surname, year, doi, ...): one compliant answer and up to six that are not."""
     c, s, y, d = (F.col(x) for x in ("claim", "surname", "year", "doi"))
     fine = cited(c, s, y, d)
-    number, polarity, biblio = tamper_number(c, QUANTITY), tamper_polarity(c), tamper_biblio(fine, s)
+    biblio = tamper_biblio(fine, s)
     kinds = [
-        ("compliant", None, fine), ("no_source", None, c), ("numeric_tamper", "C", F.when(number.isNotNull(), cited(number, s, y, d))), ("fake_doi", "A", cited(c, s, y, F.lit(FAKE_DOI))),
-        ("polarity_flip", "C", F.when(polarity != c, cited(polarity, s, y, d))), ("biblio_tamper", "A", F.when(biblio != fine, biblio)), ("year_drift", "A", tamper_year(fine, y)),
+        ("compliant", None, fine), ("no_source", None, c), ("numeric_tamper", "C", let(tamper_number(c, QUANTITY), lambda number: F.when(number.isNotNull(), cited(number, s, y, d)))), ("fake_doi", "A", cited(c, s, y, F.lit(FAKE_DOI))),
+        ("polarity_flip", "C", let(tamper_polarity(c), lambda polarity: F.when(polarity != c, cited(polarity, s, y, d)))), ("biblio_tamper", "A", let(biblio, lambda b: F.when(b != fine, b))), ("year_drift", "A", tamper_year(fine, y)),
     ]
     each = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(t).cast("string").alias("halluc_type"), r.alias("response")) for k, t, r in kinds])
     return claims.select("*", F.inline(F.filter(each, lambda x: x["response"].isNotNull())))
