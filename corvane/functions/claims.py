@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import quick
 from .scores import NUMBER_UNIT
 from .text import CORPUS_SPLIT, content_words, pieces, squeeze
 
@@ -24,7 +25,7 @@ QUANTITY = r"(?<![\w-])(?:\d+\.\d+|\d+)\s*(?:%|micro-?M|µM|nM|mM|mg|kg|fold|tim
 
 
 def _found(s: Column, pattern: str) -> Column:
-    return F.zip_with(F.regexp_extract_all(s, F.lit(pattern), 1), F.regexp_extract_all(s, F.lit(pattern), 2), lambda v, u: F.concat(v, u))
+    return F.zip_with(F.regexp_extract_all(s, F.lit(quick(pattern)), 1), F.regexp_extract_all(s, F.lit(quick(pattern)), 2), lambda v, u: F.concat(v, u))
 
 
 def numbers(s: Column) -> Column:
@@ -42,11 +43,11 @@ def shared_numbers(claim: Column, evidence: Column) -> Column:
 
 
 def n_numbers(s: Column) -> Column:
-    return F.regexp_count(s, F.lit(NUMBER_UNIT))
+    return F.regexp_count(s, F.lit(quick(NUMBER_UNIT)))
 
 
 def is_claim(s: Column) -> Column:
-    return s.rlike("(?i)" + CLAIM) & ~s.rlike("(?i)" + NOT_CLAIM) & (n_numbers(s) <= 2) & (F.size(content_words(s)) >= 3)
+    return s.rlike(quick("(?i)" + CLAIM)) & ~s.rlike(quick("(?i)" + NOT_CLAIM)) & (n_numbers(s) <= 2) & (F.size(content_words(s)) >= 3)
 
 
 def is_evidence(s: Column) -> Column:
