@@ -41,6 +41,14 @@ def test_quick_patterns_find_the_same_matches(spark):
         found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
         row = d.agg(*[F.count_if(found(p) != found(quick(p))).alias(f"d{j}") for j, p in enumerate(some)], *[F.sum(F.size(found(p))).alias(f"n{j}") for j, p in enumerate(some)]).first()
         assert all(row[f"d{j}"] == 0 for j in range(len(some))), [p for j, p in enumerate(some) if row[f"d{j}"]]
+    from corvane.functions.patterns import bit, may
+
+    for k in range(0, len(every), 30):
+        some = every[k : k + 30]
+        m = d.withColumn("m", may(F.col("t"), some))
+        row = m.agg(*[F.count_if(~bit(F.col("m"), j) & F.col("t").rlike(plain(p))).alias(f"d{j}") for j, p in enumerate(some)], F.count_if(F.col("m") == 0).alias("none")).first()
+        assert all(row[f"d{j}"] == 0 for j in range(len(some))), [p for j, p in enumerate(some) if row[f"d{j}"]]
+        assert row["none"] > 0
     first = "(?i)" + curation.BOUNDED["pH"][0]  # groups keep their numbers
     assert spark.range(1).select(F.regexp_extract_all(F.lit("pH 15, ph: 3,5"), F.lit(quick(first)), F.lit(1))).first()[0] == ["15", "3,5"]
 
